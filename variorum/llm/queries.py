@@ -45,3 +45,10 @@ SELECT page_id, host, path, rule, CASE
   ELSE 'allow' END AS verdict
 FROM listed
 """
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    from variorum.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
