@@ -52,3 +52,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variorum.llm import licenses
 
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and how many sentences offend."""
+    from variorum.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.score(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held, "score", "predicted", F.size("offending").alias("n_offending"))
