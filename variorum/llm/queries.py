@@ -62,3 +62,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     held = toxicity.held_out(F.col("doc_id")).alias("held_out")
     return toxicity.score(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held, "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from variorum.llm import langid
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    held = langid.held_out(F.col("doc_id")).alias("held_out")
+    return langid.predict(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), held, "lang_pred", "score", "rejected")
