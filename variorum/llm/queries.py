@@ -72,3 +72,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     held = langid.held_out(F.col("doc_id")).alias("held_out")
     return langid.predict(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), held, "lang_pred", "score", "rejected")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    from variorum.llm import bpe
+
+    return bpe.digests(_table(spark, sf_dir, "documents"))
