@@ -32,8 +32,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 CACHED = 1_500_000
 #: Words for one recursive query, which bounds its rows.
-ROUND = 30_000
+ROUND = 60_000
 PIECE = 1 << 21
+#: Pieces whose new words go through the recursion together.
+GROUP = 8
 
 _ENCODE = """
 WITH RECURSIVE t(w, pos, id, active) AS (
@@ -214,30 +216,59 @@ class Coder:
                 offer(before[i])
         return [self.ranks[word[i : upto[i]]] for i in range(n) if alive[i]]
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and where each text's begin (one more at the end)."""
-        starts = word_starts(raw, offsets, pattern)
-        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        hashes, first, which = np.unique(B.span_hash(B.running(raw), starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
-        if new.any():
-            if len(self.keys) + new.sum() > CACHED and len(self.keys):
-                self.forget()
-                new[:] = True
-            word_from, word_to = starts[first[new]], ends[first[new]]
-            ids, sizes = self.merge(_gather(raw, word_from, word_to - word_from), np.cumsum(word_to - word_from))
-            into = np.searchsorted(self.keys, hashes[new])
-            self.at = np.insert(self.at, into, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.size = np.insert(self.size, into, sizes.astype(np.int32))
-            self.keys = np.insert(self.keys, into, hashes[new])
-            self.ids = np.concatenate([self.ids, ids])
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        at = np.searchsorted(self.keys, hashes)[which]
-        sizes = self.size[at].astype(np.int64)
-        behind = np.concatenate([[0], np.cumsum(sizes)])
-        return _gather(self.ids, self.at[at], sizes), behind[np.searchsorted(starts, offsets)]
+    def learn(self, hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds words, end to end in text, of distinct new hashes (ascending) to the cache."""
+        ends = np.cumsum(sizes)
+        words = text.tobytes()
+        whole = np.array([self.ranks.get(words[e - n : e], -1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.int32)
+        rest = whole < 0  # a word that is a token is that token
+        ids, counts = self.merge(_gather(text, (ends - sizes)[rest], sizes[rest]), np.cumsum(sizes[rest]))
+        all_counts = np.ones(len(hashes), np.int64)
+        all_counts[rest] = counts
+        of_rest = np.repeat(rest, all_counts)
+        flat = np.empty(len(of_rest), np.int32)
+        flat[of_rest], flat[~of_rest] = ids, whole[~rest]
+        into = np.searchsorted(self.keys, hashes)
+        self.at = np.insert(self.at, into, len(self.ids) + np.cumsum(all_counts) - all_counts)
+        self.size = np.insert(self.size, into, all_counts.astype(np.int32))
+        self.keys = np.insert(self.keys, into, hashes)
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, parts: list[tuple[np.ndarray, np.ndarray]], pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each (bytes, starts of texts): ids of the texts, end to end, and where each text's begin (one more at the end).
+
+        The new words of all parts go through one recursive query, as each round of it has a fixed cost.
+        """
+        cut, unknown = [], []
+        for raw, offsets in parts:
+            starts = word_starts(raw, offsets, pattern)
+            ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+            hashes, first, which = np.unique(B.span_hash(B.running(raw), starts, ends), return_index=True, return_inverse=True)
+            cut.append((hashes, which.astype(np.int32), np.searchsorted(starts, offsets)))
+            unknown.append((hashes, raw, starts[first], ends[first]))
+        total = sum(len(u[0]) for u in unknown)
+        if len(self.keys) + total > CACHED:
+            self.forget()
+        fresh_hash, fresh_text, fresh_size = [], [], []
+        for hashes, raw, begin, end in unknown:
+            at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+            new = self.keys[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
+            fresh_hash.append(hashes[new])
+            fresh_text.append(_gather(raw, begin[new], (end - begin)[new]))
+            fresh_size.append((end - begin)[new])
+        if sum(map(len, fresh_hash)):
+            size, text = np.concatenate(fresh_size), np.concatenate(fresh_text)
+            hashes, first = np.unique(np.concatenate(fresh_hash), return_index=True)
+            begin = np.cumsum(size) - size
+            self.learn(hashes, _gather(text, begin[first], size[first]), size[first])
+        for hashes, which, rows_at in cut:
+            if not len(which):
+                yield np.zeros(0, np.int32), np.zeros(len(rows_at), np.int64)
+                continue
+            at = np.searchsorted(self.keys, hashes)[which]
+            sizes = self.size[at].astype(np.int64)
+            behind = np.concatenate([[0], np.cumsum(sizes)])
+            yield _gather(self.ids, self.at[at], sizes), behind[rows_at]
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
         """The bytes of each row of ids."""
@@ -252,21 +283,39 @@ class Coder:
             out[k] = text.encode("latin-1")
         return out
 
-    def both(self, raw: np.ndarray, offsets: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """encode() and decode(); texts that don't come back are encoded anew, each word by its bytes."""
-        ids, begins = self.encode(raw, offsets, pattern)
-        texts = self.decode(ids, begins)
-        wrong = [k for k, text in enumerate(texts) if text != raw[offsets[k] : offsets[k + 1]].tobytes()]
-        if wrong:
-            rows = [ids[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            for k in wrong:
-                text = raw[offsets[k] : offsets[k + 1]]
-                starts = word_starts(text, np.array([0, len(text)]), pattern)
-                rows[k] = self.merge(text, np.append(starts[1:], len(text)))[0]
-                texts[k] = self.decode(rows[k], np.array([0, len(rows[k])]))[0]
-            begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            ids = np.concatenate(rows)
-        return ids, begins, texts
+    def both(self, column: pa.Array, pattern: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
+        """(first row, row after the last, ids, where each row's begin, decoded texts) of consecutive rows of a column.
+
+        Texts that don't come back are encoded anew, each word by its bytes.
+        """
+        waiting = list(B.pieces(column, PIECE))
+        for at in range(0, len(waiting), GROUP):
+            group = waiting[at : at + GROUP]
+            coded = self.encode([(raw, offsets) for _, _, raw, offsets in group], pattern)
+            for (lo, hi, raw, offsets), (ids, begins) in zip(group, coded, strict=True):
+                texts = self.decode(ids, begins)
+                wrong = [k for k, text in enumerate(texts) if text != raw[offsets[k] : offsets[k + 1]].tobytes()]
+                if wrong:
+                    rows = [ids[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                    for k in wrong:
+                        rows[k] = self.plainly(raw[offsets[k] : offsets[k + 1]], pattern)
+                        texts[k] = self.decode(rows[k], np.array([0, len(rows[k])]))[0]
+                    begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+                    ids = np.concatenate(rows)
+                yield lo, hi, ids, begins, texts
+
+    def plainly(self, text: np.ndarray, pattern: str) -> np.ndarray:
+        """Ids of one text without the cache."""
+        if not len(text):
+            return np.zeros(0, np.int32)
+        starts = word_starts(text, np.array([0, len(text)]), pattern)
+        ids, out, at = *self.merge(text, np.append(starts[1:], len(text))), 0
+        kept = []
+        for a, b, n in zip(starts.tolist(), [*starts[1:].tolist(), len(text)], out.tolist(), strict=True):
+            whole = self.ranks.get(text[a:b].tobytes())
+            kept.append(ids[at : at + n] if whole is None else np.array([whole], np.int32))
+            at += n
+        return np.concatenate(kept)
 
 
 def _gather(source: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -298,8 +347,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped.value)
         for batch in batches:
-            for lo, hi, raw, offsets in B.pieces(batch.column(at), PIECE):
-                ids, begins, _ = coder.both(raw, offsets, pattern)
+            for lo, hi, ids, begins, _ in coder.both(batch.column(at), pattern):
                 column = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), column], names=[*batch.schema.names, "ids"])
 
@@ -332,8 +380,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped.value)
         for batch in batches:
-            for lo, hi, raw, offsets in B.pieces(batch.column(1), PIECE):
-                ids, begins, texts = coder.both(raw, offsets, pattern)
+            for lo, hi, ids, begins, texts in coder.both(batch.column(1), pattern):
                 data = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
