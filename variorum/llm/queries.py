@@ -79,3 +79,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variorum.llm import bpe
 
     return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from normalised archives."""
+    from variorum.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM r
+"""
