@@ -1 +1,114 @@
-"""To come."""
+"""Line deduplication, exact and within one edit, by a deletion-neighbourhood join. DataFrame functions only.
+
+Lines are what line feeds separate. A line is dropped if an earlier one equals it or, for lines of `NEAR_FROM` characters
+or more, is within one edit of it (a character inserted, deleted or replaced). Earlier means smaller (doc_id, hash of the
+text, line number), nulls first, whether that line is itself kept or not; so the result depends on no order of execution.
+Blank lines (of spaces, tabs, form feeds and carriage returns) stay. Texts are joined again with line feeds.
+
+1. Equal lines: a pair of 64-bit hashes per line and the least position for each, by partial aggregation.
+2. Lines that can have a neighbour: one edit leaves the first or the last half whole. Each distinct line emits hashes of
+   both halves, for its own length and for one less; only lines that share one with another line go on. Nothing is lost.
+3. Their neighbourhood: every variant with one character deleted is emitted as a hashed key with its place. Two lines of
+   one variant and place differ by a replacement; a line that is a variant of another differs by a deletion. In a group
+   of equal keys each line is paired with the earliest only (all in such a group are within one edit of each other), so
+   pairs grow with lines and not with their square.
+4. Pairs are verified by edit distance, the later line goes, and the texts are assembled from the lines left.
+
+Identical rows count as one document: both keep the same lines. Null texts stay null, empty texts empty. Extra columns
+are kept; n_lines, n_equal and n_near (lines dropped by 1 and by 3) are added in place of any columns of those names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from variorum.llm import storage
+
+#: Characters from which a line has near duplicates besides equal ones.
+NEAR_FROM = 20
+#: Keys and lines up to this number (24 bytes each) are broadcast, else joined by shuffle.
+BROADCAST_ROWS = 200_000
+_BLANK = " \t\r\f"
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _hashes(line: Column) -> dict[str, Column]:
+    """Two hashes with different seeds: lines are the same if both are."""
+    return {"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(17), line)}
+
+
+def _halves() -> Column:
+    """Hashes of both halves of `line`, for pairs whose shorter line has its length or one less."""
+    out = []
+    for shortest in ("n", "n - 1"):
+        out.append(f"xxhash64(1, {shortest}, substring(line, 1, ({shortest}) div 2))")
+        out.append(f"xxhash64(2, {shortest}, substring(line, cast(n - ({shortest}) div 2 + 1 as int), ({shortest}) div 2))")
+    return F.expr(f"case when n >= {NEAR_FROM} then array({', '.join(out)}) end")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Lines that aren't blank, with their positions."""
+    split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.where(F.btrim("line", F.lit(_BLANK)) != "")
+
+
+_POSITION = F.struct("doc_id", "text_hash", "line_no")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with texts from which repeated lines are gone."""
+    base = docs.drop("n_lines", "n_equal", "n_near")
+    lines = _lines(base)
+
+    # 1. Distinct lines and their first positions.
+    hashed = lines.withColumn("n", F.length("line")).select(*(c.alias(k) for k, c in _hashes(F.col("line")).items()), _POSITION.alias("at"), _halves().alias("halves"))
+    distinct = storage.kept(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")), "line-distinct")
+
+    # 2. Lines that share a half with another line.
+    keys = distinct.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    shared = storage.kept(keys.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"), "line-halves")
+    possible = storage.kept(keys.join(_near(shared), "half", "left_semi").select("h1", "h2").distinct(), "line-possible")
+
+    # 3. Their texts, then their variants.
+    first = distinct.join(_near(possible), ["h1", "h2"], "left_semi").select("h1", "h2", "at")
+    first = first.select("h1", "h2", "at.doc_id", "at.text_hash", "at.line_no").select("h1", "h2", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "line_no")))
+    first = storage.kept(first, "line-first")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
+    texts = lines.join(_near(first), same).select("h1", "h2", _POSITION.alias("at"), "line").dropDuplicates(["h1", "h2"])
+    texts = storage.kept(texts, "line-texts")
+    variant = "xxhash64(7, concat(substring(line, 1, cast(i - 1 as int)), substring(line, cast(i + 1 as int))))"
+    variants = texts.select("h1", "h2", "at", F.explode(F.expr(f"transform(sequence(1, length(line)), i -> struct(i as place, {variant} as variant))")).alias("v")).select("h1", "h2", "at", "v.place", "v.variant")
+    variants = storage.kept(variants, "line-variants")
+    me = F.struct("at", "h1", "h2")
+    leaders = variants.groupBy("variant", "place").agg(F.min(me).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    replaced = variants.join(leaders, ["variant", "place"]).where("at > leader.at").select(F.struct("h1", "h2").alias("late"), F.struct("leader.h1", "leader.h2").alias("early"))
+    whole = texts.select(F.expr("xxhash64(7, line)").alias("variant"), F.struct("at", "h1", "h2").alias("short"))
+    deleted = variants.join(whole, "variant").select(F.struct("at", "h1", "h2").alias("long"), "short")
+    longer_later = F.col("long.at") > F.col("short.at")
+    deleted = deleted.select(*(F.struct(*(F.when(cond, F.col(f"long.{h}")).otherwise(F.col(f"short.{h}")).alias(h) for h in ("h1", "h2"))).alias(name) for name, cond in (("late", longer_later), ("early", ~longer_later))))
+    pairs = replaced.unionByName(deleted).distinct()
+
+    # 4. Verification, and the lines that stay.
+    text = texts.select(F.struct("h1", "h2").alias("id"), "line")
+    checked = pairs.join(text.select(F.col("id").alias("late"), F.col("line").alias("a")), "late").join(text.select(F.col("id").alias("early"), F.col("line").alias("b")), "early")
+    gone = checked.where((F.levenshtein("a", "b", 1) >= 0) & (F.col("late") != F.col("early"))).select("late.h1", "late.h2").distinct()
+    gone = storage.kept(gone, "line-gone")
+    marked = distinct.join(_near(gone.withColumn("near", F.lit(True))), ["h1", "h2"], "left")
+    stay = marked.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line_no"))).alias("_stay"), F.count("near").alias("n_near"))
+    stay = stay.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_stay", "n_near")
+
+    joined = base.withColumn("_text_hash_own", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash_own") == F.col("_text_hash")), "left")
+    split = joined.withColumn("_lines", F.split("text", "\n"))
+    blanks = F.expr(f"filter(transform(_lines, (x, i) -> if(btrim(x, '{_BLANK}') = '', i, null)), i -> i is not null)")
+    placed = split.withColumn("_blank", blanks).withColumn("_all", F.array_sort(F.concat(F.coalesce("_stay", F.expr("array()")), "_blank")))
+    new = F.array_join(F.transform("_all", lambda i: F.get(F.col("_lines"), i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
+    near = F.coalesce("n_near", F.lit(0)).cast("long")
+    equal = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_all")).cast("long") - near
+    out = placed.withColumns({"n_lines": n_lines, "n_near": near, "n_equal": equal, "_new": F.when(F.col("text").isNotNull(), new)})
+    return out.select(*(F.col("_new").alias("text") if c == "text" else F.col(c) for c in base.columns), "n_lines", "n_equal", "n_near")

@@ -106,3 +106,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variorum.llm import ann
 
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated lines, and how many went."""
+    from variorum.llm import linededup
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
