@@ -57,7 +57,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.btrim("line", F.lit(_BLANK)) != "")
 
 
-_POSITION = F.struct("doc_id", "text_hash", "line_no")
+def _position() -> Column:
+    return F.struct("doc_id", "text_hash", "line_no")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     lines = _lines(base)
 
     # 1. Distinct lines and their first positions.
-    hashed = lines.withColumn("n", F.length("line")).select(*(c.alias(k) for k, c in _hashes(F.col("line")).items()), _POSITION.alias("at"), _halves().alias("halves"))
+    hashed = lines.withColumn("n", F.length("line")).select(*(c.alias(k) for k, c in _hashes(F.col("line")).items()), _position().alias("at"), _halves().alias("halves"))
     distinct = storage.kept(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")), "line-distinct")
 
     # 2. Lines that share a half with another line.
@@ -79,7 +80,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = first.select("h1", "h2", "at.doc_id", "at.text_hash", "at.line_no").select("h1", "h2", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "line_no")))
     first = storage.kept(first, "line-first")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
-    texts = lines.join(_near(first), same).select("h1", "h2", _POSITION.alias("at"), "line").dropDuplicates(["h1", "h2"])
+    texts = lines.join(_near(first), same).select("h1", "h2", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
     texts = storage.kept(texts, "line-texts")
     variant = "xxhash64(7, concat(substring(line, 1, cast(i - 1 as int)), substring(line, cast(i + 1 as int))))"
     variants = texts.select("h1", "h2", "at", F.explode(F.expr(f"transform(sequence(1, length(line)), i -> struct(i as place, {variant} as variant))")).alias("v")).select("h1", "h2", "at", "v.place", "v.variant")
