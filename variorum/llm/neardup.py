@@ -1 +1,256 @@
-"""To come."""
+"""Near duplicates by ProbMinHash sketches of weighted word shingles, banding and exact verification.
+
+A document is its multiset of `SHINGLE`-word shingles (words as in bytesops, lower-cased; a shorter text is one shingle),
+weighted by their counts. Its sketch has `REGISTERS` registers: every shingle runs a Poisson process whose rate is its
+weight, each arrival strikes a random register, and a register keeps the shingle that struck it first. Two sketches
+agree in a register with the probability Jaccard similarity. A shingle whose next arrival comes after the last register's
+first one can't change anything, and stops; arrivals are drawn in blocks that double until all have stopped.
+
+`BANDS` bands of the sketch are hashed to buckets. Texts of equal word sequences are one class from the start and only
+their smallest id goes into buckets. In a bucket everyone is compared with a leader (the smallest id); those that aren't
+similar go on, with a leader of their own, until none is left. So a group of copies costs a comparison for each, not
+for each pair, and no group is ever gathered in one task. A pair split by this (one similar to the leader, the other
+not) is found through the triangle inequality, which holds for both distances: only pairs whose distances from the
+leader differ by no more than the allowed distance, and that lie in different components, are compared as well. So every
+pair that shares a bucket is decided, and none of these links is lost.
+
+Documents are linked if the Jaccard similarity of their shingle sets or the probability Jaccard similarity of their
+weighted shingles is `LEAST` or more, both computed exactly from the shingles. Classes are the connected components.
+
+Texts without words, and null texts, are classes of their own. Rows with one doc_id are one document. Rows with a null
+doc_id get a null class. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from variorum.llm import bytesops as B
+from variorum.llm import storage
+from variorum.llm.components import components
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 5
+REGISTERS = BANDS * ROWS
+#: Rows of at most 24 bytes that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 300_000
+
+_C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _near(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and where each row's begin (one more at the end)."""
+    low = B.LOWER[raw]
+    starts, ends = B.spans(B.WORD[low], offsets[:-1])
+    return B.span_hash(B.running(low), starts, ends), np.searchsorted(starts, offsets)
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all rows: row, hash and count, ordered by row and hash."""
+    words, begins = _words(raw, offsets)
+    counts = np.diff(begins)
+    none = np.zeros(0, np.int64)
+    if not len(words):
+        return none, none.astype(np.uint64), none
+    row = np.repeat(np.arange(len(counts)), counts)
+    h = np.zeros(len(words), np.uint64)
+    for j in range(SHINGLE):
+        h[: len(words) - j] += words[j:] * _C[j]
+    inside = np.arange(len(words)) + SHINGLE <= begins[row + 1]
+    h, of = h[inside], row[inside]
+    for k in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
+        own = words[begins[k] : begins[k + 1]]
+        at = int(np.searchsorted(of, k))
+        h = np.insert(h, at, (own * _C[: len(own)]).sum() + np.uint64(len(own)))
+        of = np.insert(of, at, k)
+    h = B.mix(h)
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(of[order], kind="stable")]
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(new)
+    return of[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def sketches(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """ProbMinHash registers of n rows: the hash of the shingle that came first (0 in rows without shingles)."""
+    m = REGISTERS
+    first = np.full(n * m, np.inf)
+    who = np.zeros(n * m, np.uint64)
+    time, active = np.zeros(len(h)), np.arange(len(h))
+    last = np.full(n, np.inf)
+    k, block = 0, 1
+    while len(active):
+        point = np.arange(k + 1, k + 1 + block, dtype=np.uint64)
+        u = B.mix(h[active, None] + point[None, :] * _C[6])
+        gap = -np.log(((u >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / weight[active, None]
+        t = time[active, None] + np.cumsum(gap, axis=1)
+        register = ((u & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
+        inside = t <= last[of[active], None]
+        flat = (of[active, None] * m + register)[inside]
+        struck, by = t[inside], np.broadcast_to(h[active, None], t.shape)[inside]
+        np.minimum.at(first, flat, struck)
+        won = first[flat] == struck
+        who[flat[won]] = by[won]
+        last = first.reshape(n, m).max(axis=1)
+        time[active] = t[:, -1]
+        active = active[time[active] <= last[of[active]]]
+        k += block
+        block = min(block * 2, 64)
+    return who.reshape(n, m)
+
+
+def _bands(registers: np.ndarray) -> np.ndarray:
+    n = len(registers)
+    keys = (registers.reshape(n, BANDS, ROWS) * _C[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _C[7]
+    return B.mix(keys).view(np.int64)
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, two fingerprints of the word sequence, and the band keys (all null without words)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in B.pieces(batch.column(1)):
+                n = hi - lo
+                words, begins = _words(raw, offsets)
+                counts = np.diff(begins)
+                row = np.repeat(np.arange(n), counts)
+                place = (np.arange(len(words)) - np.repeat(begins[:-1], counts)).astype(np.uint64)
+                prints = []
+                for c in (_C[5], _C[6]):
+                    part = B.mix(words + B.mix(place + c))
+                    behind = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
+                    prints.append(B.mix(behind[begins[1:]] - behind[begins[:-1]] + counts.astype(np.uint64)).view(np.int64))
+                of, h, count = shingles(raw, offsets)
+                bands = _bands(sketches(of, h, count.astype(np.float64), n))
+                empty = counts == 0
+                ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel()), mask=pa.array(empty))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(p, mask=empty) for p in prints), column], names=["doc_id", "f1", "f2", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(read, "doc_id long, f1 long, f2 long, bands array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc and its distinct shingles (ascending) with counts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in B.pieces(batch.column(1)):
+                of, h, count = shingles(raw, offsets)
+                ends = pa.array(np.searchsorted(of, np.arange(hi - lo + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))], names=["doc", "shingles", "counts"])
+
+    return docs.mapInArrow(read, "doc long, shingles array<long>, counts array<int>")
+
+
+def similarities(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> tuple[float, float]:
+    """Jaccard and probability Jaccard similarity of two weighted sets (distinct elements, positive weights)."""
+    both = np.union1d(a, b)
+    x, y = np.zeros(len(both)), np.zeros(len(both))
+    x[np.searchsorted(both, a)], y[np.searchsorted(both, b)] = p / p.sum(), q / q.sum()
+    shared = (x > 0) & (y > 0)
+    if not shared.any():
+        return 0.0, 0.0
+    ratio = np.divide(x, y, out=np.full(len(x), np.inf), where=y > 0)
+    order = np.argsort(ratio, kind="stable")
+    r, below, above = ratio[order], np.concatenate([[0], np.cumsum(y[order])]), np.concatenate([[0], np.cumsum(x[order])])
+    t = ratio[shared]
+    at = np.searchsorted(r, t, side="left")
+    total = above[-1] - above[at] + t * below[at]  # sum over i of max(x_i, t * y_i)
+    return float(shared.sum() / len(both)), float(np.minimum((x[shared] / total).sum(), 1.0))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with both similarities."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {}
+            for name in ("sa", "ca", "sb", "cb"):
+                column = batch.column(name)
+                lists[name] = (column.offsets.to_numpy(), column.values.to_numpy())
+            out = np.zeros((batch.num_rows, 2))
+            for i in range(batch.num_rows):
+                own = [v[o[i] : o[i + 1]] for o, v in lists.values()]
+                out[i] = similarities(*own)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b", "set_j", "prob_j"])
+
+    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+    some = pairs.count() <= BROADCAST_ROWS
+    if some:
+        # Few pairs: their ids go to the sets, so that only sets in question are shuffled.
+        left = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+        right = right.join(F.broadcast(pairs), "b").select("a", "b", "sb", "cb")
+        joined = right.join(left, "a")
+    else:
+        joined = pairs.join(right, "b").join(left, "a")
+    return joined.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(read, "a long, b long, set_j double, prob_j double")
+
+
+def _linked() -> Column:
+    return (F.col("set_j") >= LEAST) | (F.col("prob_j") >= LEAST)
+
+
+def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership of equal texts (doc_id, rep), and links (u, v) between representatives."""
+    reps = sketch.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    member = storage.kept(sketch.where("f1 is not null").select("doc_id", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "rep").distinct(), "near-members")
+    # A document that has several rows is represented where any of its texts is.
+    own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
+    banded = own.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key")).distinct()
+    alone = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rest = storage.kept(banded.join(alone, "key"), "near-buckets")
+
+    wanted = storage.kept(rest.select("doc").distinct(), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_near(wanted), "doc", "left_semi")
+    sets = storage.kept(_sets(texts), "near-sets")
+    done: DataFrame | None = None
+    while True:
+        leaders = rest.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+        led = rest.join(leaders, "key").where("doc <> leader")
+        pairs = led.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+        pairs = storage.kept(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        new = storage.kept(_verified(pairs, sets), "near-verified")
+        done = new if done is None else done.unionByName(new)
+        apart = done.where(~_linked()).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+        rest = storage.kept(led.join(apart, ["leader", "doc"], "left_semi").select("key", "doc"), "near-rest")
+        if rest.isEmpty():
+            break
+    edges = done.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(edges, "near-components")
+
+    # Pairs that a leader parted: a is similar to it and b isn't, but a and b may be similar.
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    outer = done.where(~_linked() & ((F.col("set_j") >= 2 * LEAST - 1) | (F.col("prob_j") >= 2 * LEAST - 1)))
+    outer = outer.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    outer = outer.select(F.col("a").alias("leader"), "b", F.col("set_j").alias("bs"), F.col("prob_j").alias("bp"))
+    inner = done.where(_linked()).select(F.col("a").alias("leader"), F.col("b").alias("m"), F.col("set_j").alias("ms"), F.col("prob_j").alias("mp"))
+    slack = 1 - LEAST + 1e-9
+    parted = inner.join(outer, "leader").where((F.col("ms") - F.col("bs") <= slack) | (F.col("mp") - F.col("bp") <= slack))
+    parted = parted.select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    more = storage.kept(_verified(storage.kept(parted, "near-parted"), sets), "near-more")
+    return member, edges.unionByName(more.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class) of every row."""
+    sketch = storage.kept(sketched(docs), "near-sketch")
+    member, edges = links(docs, sketch)
+    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(edges.unionByName(same), "near-classes")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

@@ -114,3 +114,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    from variorum.llm import neardup
+
+    return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
