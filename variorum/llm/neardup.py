@@ -8,8 +8,8 @@ first one can't change anything, and stops; arrivals are drawn in blocks that do
 
 `BANDS` bands of the sketch are hashed to buckets. Texts of equal word sequences are one class from the start and only
 their smallest id goes into buckets. In a bucket everyone is compared with a leader (the smallest id); those that aren't
-similar go on, with a leader of their own, until none is left. So a group of copies costs a comparison for each, not
-for each pair, and no group is ever gathered in one task. A pair split by this (one similar to the leader, the other
+similar go on to a round with leaders of their own (4, then 16 ...), until none is left. So a group of copies costs a
+comparison for each, not for each pair, and no group is ever gathered in one task. A pair split by this (one similar to the leader, the other
 not) is found through the triangle inequality, which holds for both distances: only pairs whose distances from the
 leader differ by no more than the allowed distance, and that lie in different components, are compared as well. So every
 pair that shares a bucket is decided, and none of these links is lost.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.llm import bytesops as B
@@ -219,17 +219,21 @@ def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_near(wanted), "doc", "left_semi")
     sets = storage.kept(_sets(texts), "near-sets")
     done: DataFrame | None = None
+    leading = 1
     while True:
-        leaders = rest.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        led = rest.join(leaders, "key").where("doc <> leader")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+        leaders = rest.withColumn("_n", rank).where(F.col("_n") <= leading).select("key", F.col("doc").alias("leader"))
+        led = rest.join(leaders, "key").where("doc > leader")
         pairs = led.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
         pairs = storage.kept(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-        new = storage.kept(_verified(pairs, sets), "near-verified")
-        done = new if done is None else done.unionByName(new)
-        apart = done.where(~_linked()).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
-        rest = storage.kept(led.join(apart, ["leader", "doc"], "left_semi").select("key", "doc"), "near-rest")
+        done_now = storage.kept(_verified(pairs, sets), "near-verified")
+        done = done_now if done is None else done.unionByName(done_now)
+        near = done.where(_linked()).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+        settled = led.join(near, ["leader", "doc"], "left_semi").select("key", "doc").unionByName(leaders.select("key", F.col("leader").alias("doc")))
+        rest = storage.kept(rest.join(settled.distinct(), ["key", "doc"], "left_anti"), "near-rest")
         if rest.isEmpty():
             break
+        leading *= 4
     edges = done.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges, "near-components")
 
