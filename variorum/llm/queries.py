@@ -121,3 +121,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variorum.llm import neardup
 
     return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, or paraphrases of them."""
+    from variorum.llm import decontam
+
+    return decontam.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
