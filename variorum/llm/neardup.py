@@ -36,7 +36,7 @@ from variorum.llm.components import components
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Rows of at most 24 bytes that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
