@@ -7,12 +7,11 @@ agree in a register with the probability Jaccard similarity. A shingle whose nex
 first one can't change anything, and stops; arrivals are drawn in blocks that double until all have stopped.
 
 `BANDS` bands of the sketch are hashed to buckets. Texts of equal word sequences are one class from the start and only
-their smallest id goes into buckets. In a bucket everyone is compared with a leader (the smallest id); those that aren't
-similar go on to a round with leaders of their own (4, then 16 ...), until none is left. So a group of copies costs a
-comparison for each, not for each pair, and no group is ever gathered in one task. A pair split by this (one similar to the leader, the other
-not) is found through the triangle inequality, which holds for both distances: only pairs whose distances from the
-leader differ by no more than the allowed distance, and that lie in different components, are compared as well. So every
-pair that shares a bucket is decided, and none of these links is lost.
+their smallest id goes into buckets. In a bucket everyone is compared with its leader (the smallest id), so a group of
+copies costs a comparison for each and not for each pair, and no group is gathered in one task. The links found so far
+join documents to components. Buckets that still hold several components are cut into blocks of about `BLOCK` documents,
+and pairs of blocks are compared by their sketches, in memory and only across components; pairs whose sketches agree in
+`PROMISING` of the registers or more are verified too (a pair at the threshold falls short of that once in 20,000 times).
 
 Documents are linked if the Jaccard similarity of their shingle sets or the probability Jaccard similarity of their
 weighted shingles is `LEAST` or more, both computed exactly from the shingles. Classes are the connected components.
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.llm import bytesops as B
@@ -36,8 +35,10 @@ from variorum.llm.components import components
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 56, 9
 REGISTERS = BANDS * ROWS
+#: The share of registers in which two sketches agree to be verified, and the size of blocks.
+PROMISING, BLOCK = 0.73, 1024
 #: Rows of at most 24 bytes that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -113,7 +114,8 @@ def sketches(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
 
 def _bands(registers: np.ndarray) -> np.ndarray:
     n = len(registers)
-    keys = (registers.reshape(n, BANDS, ROWS) * _C[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _C[7]
+    factors = B.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    keys = (registers.reshape(n, BANDS, ROWS) * factors).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _C[7]
     return B.mix(keys).view(np.int64)
 
 
@@ -144,16 +146,33 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc and its distinct shingles (ascending) with counts."""
+    """doc, its distinct shingles (ascending) with counts, and a byte of each register of its sketch."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in B.pieces(batch.column(1)):
                 of, h, count = shingles(raw, offsets)
                 ends = pa.array(np.searchsorted(of, np.arange(hi - lo + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))], names=["doc", "shingles", "counts"])
+                short = (B.mix(sketches(of, h, count.astype(np.float64), hi - lo)) & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))), pa.array([r.tobytes() for r in short], pa.binary())], names=["doc", "shingles", "counts", "sketch"])
 
-    return docs.mapInArrow(read, "doc long, shingles array<long>, counts array<int>")
+    return docs.mapInArrow(read, "doc long, shingles array<long>, counts array<int>, sketch binary")
+
+
+def promising(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) across two blocks (or within one) of a bucket, of different roots, whose sketches agree enough."""
+    doc, root, block = (table[c].to_numpy() for c in ("doc", "root", "block"))
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = [], []
+    for x in left.tolist():
+        others = right[(root[right] != root[x]) & ((doc[right] > doc[x]) | (i != j))]
+        hit = others[(sketch[others] == sketch[x]).sum(axis=1) >= PROMISING * REGISTERS]
+        a.append(np.full(len(hit), doc[x]))
+        b.append(doc[hit])
+    a, b = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (a, b))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def similarities(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> tuple[float, float]:
@@ -218,35 +237,26 @@ def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = storage.kept(rest.select("doc").distinct(), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_near(wanted), "doc", "left_semi")
     sets = storage.kept(_sets(texts), "near-sets")
-    done: DataFrame | None = None
-    leading = 1
-    while True:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-        leaders = rest.withColumn("_n", rank).where(F.col("_n") <= leading).select("key", F.col("doc").alias("leader"))
-        led = rest.join(leaders, "key").where("doc > leader")
-        pairs = led.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-        pairs = storage.kept(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-        done_now = storage.kept(_verified(pairs, sets), "near-verified")
-        done = done_now if done is None else done.unionByName(done_now)
-        near = done.where(_linked()).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
-        settled = led.join(near, ["leader", "doc"], "left_semi").select("key", "doc").unionByName(leaders.select("key", F.col("leader").alias("doc")))
-        rest = storage.kept(rest.join(settled.distinct(), ["key", "doc"], "left_anti"), "near-rest")
-        if rest.isEmpty():
-            break
-        leading *= 4
+    leaders = rest.groupBy("key").agg(F.min("doc").alias("leader"))
+    pairs = rest.join(leaders, "key").where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    done = storage.kept(_verified(storage.kept(pairs, "near-pairs"), sets), "near-verified")
     edges = done.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges, "near-components")
 
-    # Pairs that a leader parted: a is similar to it and b isn't, but a and b may be similar.
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    outer = done.where(~_linked() & ((F.col("set_j") >= 2 * LEAST - 1) | (F.col("prob_j") >= 2 * LEAST - 1)))
-    outer = outer.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    outer = outer.select(F.col("a").alias("leader"), "b", F.col("set_j").alias("bs"), F.col("prob_j").alias("bp"))
-    inner = done.where(_linked()).select(F.col("a").alias("leader"), F.col("b").alias("m"), F.col("set_j").alias("ms"), F.col("prob_j").alias("mp"))
-    slack = 1 - LEAST + 1e-9
-    parted = inner.join(outer, "leader").where((F.col("ms") - F.col("bs") <= slack) | (F.col("mp") - F.col("bp") <= slack))
-    parted = parted.select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = storage.kept(_verified(storage.kept(parted, "near-parted"), sets), "near-more")
+    # Buckets with several components: blocks 0 ... hold what isn't in the leader's, the next ones what is.
+    rooted = rest.join(roots, rest["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    first = rooted.groupBy("key").agg(F.min(F.struct("doc", "root")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.col("m.root").alias("lead"))
+    mixed = storage.kept(rooted.join(first, "key").withColumn("other", F.col("root") != F.col("lead")).drop("lead"), "near-mixed")
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count_if("other") / BLOCK).cast("int").alias("n_other"), F.ceil(F.count_if(~F.col("other")) / BLOCK).cast("int").alias("n_lead"))
+    spread = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    block = F.when(F.col("other"), spread(F.col("n_other"))).otherwise(F.col("n_other") + spread(F.col("n_lead")))
+    blocks = mixed.join(sizes, "key").withColumn("block", block)
+    with_others = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    with_lead = F.transform(F.sequence(F.col("n_other"), F.col("n_other") + F.col("n_lead") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    tasks = blocks.withColumn("t", F.explode(F.when(F.col("other"), F.concat(with_others, with_lead)).otherwise(with_others)))
+    tasks = tasks.select("key", "t.i", "t.j", "doc", "root", "block").join(sets.select("doc", "sketch"), "doc")
+    found = tasks.groupBy("key", "i", "j").applyInArrow(promising, "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    more = storage.kept(_verified(storage.kept(found, "near-promising"), sets), "near-more")
     return member, edges.unionByName(more.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
