@@ -160,15 +160,25 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def promising(table: pa.Table) -> pa.Table:
-    """Pairs (a, b) across two blocks (or within one) of a bucket, of different roots, whose sketches agree enough."""
+    """Pairs (a, b) across two blocks (or within one) of a bucket, of different roots, whose sketches agree enough.
+
+    A pair comes from the smallest key of the mixed buckets that both are in, so only once.
+    """
     doc, root, block = (table[c].to_numpy() for c in ("doc", "root", "block"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    key, own = table["key"][0].as_py(), table["keys"].combine_chunks()
+    keys = np.full((len(doc), BANDS), np.iinfo(np.int64).max)
+    counts = np.diff(own.offsets.to_numpy())
+    keys[np.repeat(np.arange(len(doc)), counts), np.concatenate([np.arange(c) for c in counts])] = own.flatten().to_numpy()
     a, b = [], []
     for x in left.tolist():
         others = right[(root[right] != root[x]) & ((doc[right] > doc[x]) | (i != j))]
         hit = others[(sketch[others] == sketch[x]).sum(axis=1) >= PROMISING * REGISTERS]
+        before = keys[x][keys[x] < key]
+        if len(before) and len(hit):
+            hit = hit[~np.isin(keys[hit], before).any(axis=1)]
         a.append(np.full(len(hit), doc[x]))
         b.append(doc[hit])
     a, b = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (a, b))
@@ -254,7 +264,8 @@ def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_others = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     with_lead = F.transform(F.sequence(F.col("n_other"), F.col("n_other") + F.col("n_lead") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
     tasks = blocks.withColumn("t", F.explode(F.when(F.col("other"), F.concat(with_others, with_lead)).otherwise(with_others)))
-    tasks = tasks.select("key", "t.i", "t.j", "doc", "root", "block").join(sets.select("doc", "sketch"), "doc")
+    tasks = tasks.select("key", "t.i", "t.j", "doc", "root", "block")
+    tasks = tasks.join(sets.select("doc", "sketch").join(mixed.groupBy("doc").agg(F.slice(F.sort_array(F.collect_set("key")), 1, BANDS).alias("keys")), "doc"), "doc")
     found = tasks.groupBy("key", "i", "j").applyInArrow(promising, "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
     more = storage.kept(_verified(storage.kept(found, "near-promising"), sets), "near-more")
     return member, edges.unionByName(more.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
