@@ -94,7 +94,7 @@ def escape_html(c: Column) -> Column:
 
 def format_bytes(c: Column) -> Column:
     n = c.cast("double")
-    exponent = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.log(F.lit(2.0), n) / 10 + 1e-12))).cast("int")
+    exponent = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.log2(n) / 10 + 1e-12))).cast("int")
     scaled = n / F.pow(F.lit(1024.0), exponent)
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), exponent + 1)
     text = F.when(exponent == 0, F.format_string("%d", F.floor(scaled + 0.5).cast("long"))).otherwise(F.format_string("%.1f", scaled))
