@@ -159,7 +159,7 @@ def file_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "pages").select("page_id", T.file_extension(F.col("url")).alias("extension"))
 
 
-@_query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN '0 B' WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', n_chars / 1024.0::DOUBLE) || ' KB' ELSE printf('%.1f', n_chars / 1048576.0::DOUBLE) || ' MB' END AS size, CASE WHEN n_chars < 1000 THEN n_chars || ' ms' ELSE ((n_chars + 5) // 10 // 100) || '.' || lpad(CAST((n_chars + 5) // 10 % 100 AS VARCHAR), 2, '0') || ' s' END AS duration FROM documents")
+@_query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN '0 B' WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(n_chars / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB' END AS size, CASE WHEN n_chars < 1000 THEN n_chars || ' ms' ELSE ((n_chars + 5) // 10 // 100) || '.' || lpad(CAST((n_chars + 5) // 10 % 100 AS VARCHAR), 2, '0') || ' s' END AS duration FROM documents")
 def format_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_chars of every document, as bytes and as milliseconds."""
     return P.table(spark, sf_dir, "documents").select("doc_id", T.format_bytes(F.col("n_chars")).alias("size"), T.format_duration(F.col("n_chars")).alias("duration"))
