@@ -32,8 +32,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 CACHED = 1_500_000
 #: Words for one recursive query, which bounds its rows.
-ROUND = 60_000
-PIECE = 1 << 21
+ROUND = 30_000
+PIECE = 1 << 20
 #: Pieces whose new words go through the recursion together.
 GROUP = 8
 
@@ -138,8 +138,6 @@ class Coder:
     """One worker's DuckDB connection, merge table and cache of words."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        import duckdb
-
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
@@ -150,16 +148,31 @@ class Coder:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        self.db.execute("SET temp_directory = ''")
-        self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(merged, pa.int32())})
-        self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks])})
+        self.tables = {
+            "merges": {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(merged, pa.int32())},
+            "vocabulary": {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks])},
+        }
+        self.open = None
         self.forget()
 
-    def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
-        self.db.register("loaded", pa.table(columns))
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
-        self.db.unregister("loaded")
+    @property
+    def db(self):  # noqa: ANN201
+        """The connection, opened by a task's first query; a worker at rest keeps none, only the cache of words."""
+        if self.open is None:
+            import duckdb
+
+            self.open = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+            self.open.execute("SET temp_directory = ''")
+            for name, columns in self.tables.items():
+                self.open.register("loaded", pa.table(columns))
+                self.open.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
+                self.open.unregister("loaded")
+        return self.open
+
+    def rest(self) -> None:
+        if self.open is not None:
+            self.open.close()
+            self.open = None
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
@@ -338,6 +351,11 @@ def _coder(ranks: dict[bytes, int]) -> Coder:
     return _coders[key]
 
 
+def _rest() -> None:
+    for coder in _coders.values():
+        coder.rest()
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with ids (array of int)."""
     kept = docs.drop("ids")
@@ -351,7 +369,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 column = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), column], names=[*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(read, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return kept.mapInArrow(B.task(read, _rest), StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -370,7 +388,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = coder.decode(np.array([i for r in rows for i in r], np.int32), begins)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return kept.mapInArrow(read, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))
+    return kept.mapInArrow(B.task(read, _rest), StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -392,4 +410,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.task(read, _rest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -229,4 +229,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(letters, score, 0.0)
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(classes[best], pa.string()), pa.array(score), pa.array(score < model.threshold)], names=[*batch.schema.names[:-1], *names])
 
-    return kept.mapInArrow(read, schema)
+    return kept.mapInArrow(B.task(read), schema)

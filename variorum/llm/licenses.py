@@ -134,7 +134,7 @@ def frequencies(docs: DataFrame, templates: list[Template]) -> tuple[dict[str, i
                 seen += hi - lo
         yield pa.RecordBatch.from_pydict({"word": np.arange(n + 1, dtype=np.int32), "n": np.append(total, seen)})
 
-    counted = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select("text").mapInArrow(B.task(count), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     by = {r["word"]: r["n"] for r in counted}
     return {w: by.get(i, 0) for i, w in enumerate(vocabulary.words)}, by.get(n, 0)
 
@@ -212,4 +212,4 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.task(read), RESULT)

@@ -142,7 +142,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(p, mask=empty) for p in prints), column], names=["doc_id", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(read, "doc_id long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(B.task(read), "doc_id long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 short = (B.mix(sketches(of, h, count.astype(np.float64), hi - lo)) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))), pa.array([r.tobytes() for r in short], pa.binary())], names=["doc", "shingles", "counts", "sketch"])
 
-    return docs.mapInArrow(read, "doc long, shingles array<long>, counts array<int>, sketch binary")
+    return docs.mapInArrow(B.task(read), "doc long, shingles array<long>, counts array<int>, sketch binary")
 
 
 def promising(table: pa.Table) -> pa.Table:
@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         joined = right.join(left, "a")
     else:
         joined = pairs.join(right, "b").join(left, "a")
-    return joined.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(read, "a long, b long, set_j double, prob_j double")
+    return joined.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(B.task(read), "a long, b long, set_j double, prob_j double")
 
 
 def _linked() -> Column:

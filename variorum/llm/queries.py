@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from variorum.llm import storage
+
 ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

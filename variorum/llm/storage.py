@@ -1,60 +1,20 @@
-"""Tables written in the shared folder of the cluster, which cut lineage and survive lost executors."""
+"""Written tables in the shared folder, as in the core library, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from variorum.storage import clean, delete, kept, new_folder, shared_folder  # noqa: F401
 
-_written: list[tuple[SparkSession, str]] = []
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 8 << 20
+_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local folder, which only a local master may use."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), f"variorum-shared-{os.getpid()}")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is there goes when the driver ends, or with clean()."""
-    path = f"{shared_folder(spark)}/variorum/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def kept(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again."""
-    path = new_folder(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clean() -> None:
-    """Deletes every table that kept() has written; results not yet read from them are lost."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
-
-
-def _at_exit() -> None:
-    try:
-        clean()
-    except Exception:  # noqa: BLE001  the JVM may have gone first
-        _written.clear()
-
-
-atexit.register(_at_exit)
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds batches by bytes, as rows bound nothing where texts are long; a lower bound of the session's stays."""
+    now = spark.conf.get(_KEY, "").lower().removesuffix("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    digits = now.rstrip("kmg")
+    if not digits.isdigit() or not 0 < int(digits) * factor <= BATCH:
+        spark.conf.set(_KEY, str(BATCH))

@@ -154,4 +154,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     spans[row].append({"start": int(s_from[i] - offsets[row]), "end": int(s_to[i] - offsets[row]), "score": float(p[i])})
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), pa.array(total), pa.array((total >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(read, schema)
+    return kept.mapInArrow(B.task(read), schema)
