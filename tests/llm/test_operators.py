@@ -98,7 +98,7 @@ def test_toxicity(spark):
             sentences[k] += f" {rng.choice(['grimbad', 'vilenast', 'scumword'])}{rng.choice(['', 'er', 'ish'])} " + prose(rng, 2)
         rows.append((i, ". ".join(sentences) + "."))
         labels.append((i, 1, int(bad)))
-    df = docs_of(spark, rows + [(2000, None), (2001, ""), (2002, ". ".join(prose(rng, 9) for _ in range(3000))), (None, "grimbad.")])
+    df = docs_of(spark, rows + [(2000, None), (2001, ""), (2002, ". ".join(prose(rng, 9) for _ in range(500))), (None, "grimbad.")])
     truth = dict((i, t) for i, _, t in labels)
     out = toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
     by = {r.doc_id: r for r in out}

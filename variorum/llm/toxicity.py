@@ -40,6 +40,8 @@ PENALTY = 2e-4
 OFFENDING = 0.5
 #: Log-odds of a sentence without telling words: so low that even a book of them stays clean.
 PRIOR = -10.0
+#: Sentences under this score count as clean in a document's score, else a book's worth of them would add up.
+FLOOR = 0.05
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -146,7 +148,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 n = hi - lo
                 buckets, of, rows, s_from, s_to = _features(raw, offsets, useful)
                 p = _logistic(bias + B.sums_by_row(weights[buckets], of, len(rows)))
-                total = np.clip(_noisy_or(p, rows, n), 0.0, 1.0)
+                total = np.clip(_noisy_or(np.where(p < FLOOR, 0, p), rows, n), 0.0, 1.0)
                 bad = np.flatnonzero(p >= OFFENDING)
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 for i in bad.tolist():
