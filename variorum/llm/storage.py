@@ -13,7 +13,7 @@ _KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def modest_batches(spark: SparkSession) -> None:
     """Bounds batches by bytes, as rows bound nothing where texts are long; a lower bound of the session's stays."""
-    now = spark.conf.get(_KEY, "").lower().removesuffix("b")
+    now = spark.conf.get(_KEY).lower().removesuffix("b")
     factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
     digits = now.rstrip("kmg")
     if not digits.isdigit() or not 0 < int(digits) * factor <= BATCH:
