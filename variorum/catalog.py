@@ -303,7 +303,8 @@ def special_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_ORDERS}, c AS (SELECT o_orderkey, {_CHANGES} FROM s) SELECT o_orderkey, concat_ws(' | ', " + ", ".join(f"CASE WHEN {k.lower()}_{side} <> '' THEN '{special.LABELS[k]} {side}: ' || {k.lower()}_{side} END" for k in special.KINDS for side in ("removed", "added")) + ") AS comment FROM c")
 def special_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment on what changes between both sentences of every order."""
-    return P.order_sentences(spark, sf_dir).select("o_orderkey", special.summary(special.changes(F.col("src"), F.col("out"))).alias("comment"))
+    changed = P.order_sentences(spark, sf_dir).withColumn("c", special.changes(F.col("src"), F.col("out")))
+    return changed.select("o_orderkey", special.summary(F.col("c")).alias("comment"))
 
 
 @_query(rf"""
