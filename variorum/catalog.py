@@ -259,12 +259,22 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).stats
 
 
+def _redlined(rows: DataFrame) -> DataFrame:
+    return R.redline(R.to_export(rows)).withColumn("redline", worddiff.render(F.col("redline")))
+
+
 @_query()
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exported rows of the comparison of near copies, with rendered redlines."""
+    """Exported rows of the comparison of near copies, all of them, with rendered redlines."""
+    result = _compared(spark, sf_dir)
+    return _redlined(R.all_rows(result.detail_rows, result.table_rows))
+
+
+@_query()
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows shown on screen of the comparison of near copies: per pair 200 changed ones, or 50 if nothing changed."""
     result = _compared(spark, sf_dir)
-    lines = R.redline(R.to_export(R.preview(R.all_rows(result.detail_rows, result.table_rows))))
-    return lines.withColumn("redline", worddiff.render(F.col("redline")))
+    return _redlined(R.preview(R.all_rows(result.detail_rows, result.table_rows)))
 
 
 @_query()
