@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from variorum import catalog
+from variorum import catalog, pairs
 
 ROW = "pair_id long, block_id int, section string, page int, slide int, paragraph_number int, sentence_number int, table_id string, status string, source_text string, output_text string, comments string"
 
@@ -19,3 +19,15 @@ def test_report_has_all_rows(spark, monkeypatch):
     assert sorted((r.pair_id, r.block_id, r.status.lower()) for r in exported) == sorted((r[0], r[1], r[8]) for r in rows)
     shown = catalog.QUERIES["preview_rows"](spark, "").groupBy("pair_id").count().collect()
     assert {r.pair_id: r["count"] for r in shown} == {1: 200, 2: 50}
+
+
+def test_every_document_has_a_pair(spark, tmp_path):
+    opening = "The same opening of more than sixty characters in each of the texts here."
+    docs = {1: "short", 2: f"{opening} One.", 3: f"Changed {opening} One.", 4: "", 5: "\n".join(f"line {i}" for i in range(40)), 6: None}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pair_id: r for r in pairs.edited_copies(spark, str(tmp_path)).collect()}
+    assert {d: r.src for d, r in got.items()} == {d: t for d, t in docs.items() if t is not None}
+    assert all(r.out != r.src for r in got.values())
+    assert 30 <= len(got[5].out.split("\n")) < 40 and "LINE" in got[5].out and "some words more" in got[5].out
+    compared = catalog.combined_similarity(spark, str(tmp_path)).collect()
+    assert {r.pair_id for r in compared} == set(got)

@@ -205,12 +205,12 @@ def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def combined_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combined similarity of all near copies among the documents."""
-    return P.near_copies(spark, sf_dir).select("pair_id", F.round(similarity.combined_similarity(F.col("src"), F.col("out")), 6).alias("similarity"))
+    """Combined similarity of every document and its edited copy."""
+    return P.edited_copies(spark, sf_dir).select("pair_id", F.round(similarity.combined_similarity(F.col("src"), F.col("out")), 6).alias("similarity"))
 
 
-def _copy_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = P.line_blocks(spark, sf_dir)
+def _copy_items(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    lines = P.line_blocks(pairs)
     items = kept(lines.select("pair_id", "side", F.col("block_idx").alias("idx"), T.normalize(F.col("text")).alias("key")).withColumn("text", F.col("key")), "copy-items")
     return items.where("side = 'src'").drop("side"), items.where("side = 'out'").drop("side")
 
@@ -223,39 +223,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side, key ORDER BY idx)
 SELECT a.doc_id AS pair_id, CAST(a.idx AS INTEGER) AS src_idx, CAST(b.idx AS INTEGER) AS out_idx FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.key = b.key AND a.k = b.k AND a.side = 'src' AND b.side = 'out'
 """)
 def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal lines of near copies, first come first served."""
-    return A.match_equal(*_copy_items(spark, sf_dir), ["pair_id"])
+    """Equal lines of documents that begin alike (the pairs that the SQL names), first come first served."""
+    return A.match_equal(*_copy_items(P.near_copies(spark, sf_dir)), ["pair_id"])
 
 
 @_query()
 def align_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All operations that align the lines of near copies, with fallback by position."""
-    ops = A.align(*_copy_items(spark, sf_dir), ["pair_id"], C.PARAGRAPH, positional_fallback=True)
+    """All operations that align the lines of every document and its edited copy, with fallback by position."""
+    ops = A.align(*_copy_items(P.edited_copies(spark, sf_dir)), ["pair_id"], C.PARAGRAPH, positional_fallback=True)
     return ops.withColumn("score", F.round("score", 6))
 
 
 @_query()
 def align_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of lines of near copies where only scopes of up to 400 pairs are scanned in full."""
-    src, out = _copy_items(spark, sf_dir)
+    """Candidate pairs of lines of edited copies where only scopes of up to 400 pairs are scanned in full."""
+    src, out = _copy_items(P.edited_copies(spark, sf_dir))
     equal = kept(A.match_equal(src, out, ["pair_id"]), "banded-equal")
     rest = (A.leftovers(d, equal, side, ["pair_id"]) for d, side in ((src, "src"), (out, "out")))
     return A.candidates(*rest, ["pair_id"], full_scan=400).select("pair_id", "src_idx", "out_idx")
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> C.Comparison:
-    return C.compare_documents(P.line_blocks(spark, sf_dir))
+    return C.compare_documents(P.line_blocks(P.edited_copies(spark, sf_dir)))
 
 
 @_query()
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the comparison of near copies."""
+    """Rows of the comparison of edited copies."""
     return _compared(spark, sf_dir).detail_rows.drop("special")
 
 
 @_query()
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the comparison of near copies."""
+    """Statistics of the comparison of edited copies."""
     return _compared(spark, sf_dir).stats
 
 
@@ -265,14 +265,14 @@ def _redlined(rows: DataFrame) -> DataFrame:
 
 @_query()
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exported rows of the comparison of near copies, all of them, with rendered redlines."""
+    """Exported rows of the comparison of edited copies, all of them, with rendered redlines."""
     result = _compared(spark, sf_dir)
     return _redlined(R.all_rows(result.detail_rows, result.table_rows))
 
 
 @_query()
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows shown on screen of the comparison of near copies: per pair 200 changed ones, or 50 if nothing changed."""
+    """The rows shown on screen of the comparison of edited copies: per pair 200 changed ones, or 50 if nothing changed."""
     result = _compared(spark, sf_dir)
     return _redlined(R.preview(R.all_rows(result.detail_rows, result.table_rows)))
 
@@ -446,5 +446,5 @@ def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by status of the comparison of near copies."""
+    """Counts by status of the comparison of edited copies."""
     return _compared(spark, sf_dir).detail_rows.groupBy("pair_id", "status").agg(F.count("*").alias("rows"))

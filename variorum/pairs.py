@@ -13,20 +13,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id (the later document), src and out: documents that begin alike, each with the one before it."""
+    """pair_id (the later document), src and out: documents of 100 characters or more that begin alike, each with the one before it."""
     alike = Window.partitionBy(F.substring("text", 1, 60)).orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= 100).select("doc_id", "text")
     return docs.withColumn("src", F.lag("text").over(alike)).where("src is not null").select(F.col("doc_id").alias("pair_id"), "src", F.col("text").alias("out"))
 
 
+def edited_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, src and out: every document that has a text, with an edited copy of itself.
+
+    By its number (from the document's id on) a line is dropped, replaced, lengthened or put in capitals; every third copy
+    is in reverse order, and all get a line more.
+    """
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("src"))
+    start = F.coalesce(F.pmod("pair_id", F.lit(2310)), F.lit(0))
+    numbered = F.transform(X.line_blocks(F.col("src")), lambda x, i: F.struct((start + i).alias("k"), x.alias("line")))
+    left = F.filter(numbered, lambda s: s.k % 7 != 3)
+
+    def edited(s: Column) -> Column:
+        line = F.when(s.k % 11 == 4, F.concat(F.lit("Line "), s.k.cast("string"), F.lit(" was replaced as a whole."))).when(s.k % 5 == 2, F.concat(s.line, F.lit(" and some words more")))
+        return line.when(s.k % 6 == 1, F.upper(s.line)).otherwise(s.line)
+
+    lines = F.transform(left, edited)
+    lines = F.when(start % 3 == 0, F.reverse(lines)).otherwise(lines)
+    return docs.withColumn("out", F.array_join(F.concat(lines, F.array(F.lit("This line is new in the copy."))), "\n"))
+
+
 def sides(pairs: DataFrame) -> DataFrame:
     """pair_id, side, text."""
     return pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("text")), F.struct(F.lit("out").alias("side"), F.col("out").alias("text")))).alias("s")).select("pair_id", "s.*")
 
 
-def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of all near copies, a line each."""
-    return X.blocks(sides(near_copies(spark, sf_dir)), cut=X.line_blocks)
+def line_blocks(pairs: DataFrame) -> DataFrame:
+    """Blocks of pairs, a line each."""
+    return X.blocks(sides(pairs), cut=X.line_blocks)
 
 
 def order_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
