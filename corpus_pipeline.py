@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
 return the columns of documents. Texts are whole throughout; a document without an id, with a null text
-or with an empty text passes the filters (nothing speaks against it).
+or with an empty text passes the filters (nothing speaks against it), unless line dedup has emptied it.
 """
 
 from __future__ import annotations
@@ -33,9 +33,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def _unemptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those whose lines are all gone though they had some: copies of what stands elsewhere."""
+    blank = F.btrim("text", F.lit(" \t\r\f\n")) == ""
+    bare = docs.where(blank)
+    origin = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", blank.alias("blank"))
+    emptied = origin.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.coalesce("blank", F.lit(False))).alias("blank")).where("not blank")
+    return docs.where(~F.coalesce(blank, F.lit(False))).unionByName(_without(bare, emptied)).select(COLUMNS)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document with the smallest id."""
+    """Of every group of near duplicates, the document with the smallest id; of emptied copies, none."""
     storage.modest_batches(spark)
+    docs = storage.kept(_unemptied(spark, docs, sf_dir), "unemptied")
     copies = neardup.classes(docs).where("class_id <> doc_id")
     return _without(docs, copies)
 

@@ -16,12 +16,13 @@ and pairs of blocks are compared by their sketches, in memory and only across co
 Documents are linked if the Jaccard similarity of their shingle sets or the probability Jaccard similarity of their
 weighted shingles is `LEAST` or more, both computed exactly from the shingles. Classes are the connected components.
 
-Texts without words, and null texts, are classes of their own. Rows with one doc_id are one document. Rows with a null
+Texts without words that aren't empty are linked if they are equal. Empty and null texts are classes of their own. Rows with one doc_id are one document. Rows with a null
 doc_id get a null class. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,9 @@ def _bands(registers: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, two fingerprints of the word sequence, and the band keys (all null without words)."""
+    """doc_id, two fingerprints of the word sequence (of the text without words; null if empty), and the band keys (null
+    without words).
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +143,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 empty = counts == 0
                 ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel()), mask=pa.array(empty))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(p, mask=empty) for p in prints), column], names=["doc_id", "f1", "f2", "bands"])
+                # Texts without words: fingerprints of all bytes.
+                for k in np.flatnonzero(empty & (np.diff(offsets) > 0)).tolist():
+                    digest = hashlib.blake2b(raw[offsets[k] : offsets[k + 1]].tobytes(), digest_size=16).digest()
+                    prints[0][k], prints[1][k] = np.frombuffer(digest, np.int64)
+                nothing = np.diff(offsets) == 0
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(p, mask=nothing) for p in prints), column], names=["doc_id", "f1", "f2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(B.task(read), "doc_id long, f1 long, f2 long, bands array<long>")
 
