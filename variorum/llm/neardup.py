@@ -13,6 +13,9 @@ join documents to components. Buckets that still hold several components are cut
 and pairs of blocks are compared by their sketches, in memory and only across components; pairs whose sketches agree in
 `PROMISING` of the registers or more are verified too (a pair at the threshold falls short of that once in 20,000 times).
 
+Where a shingle is repeated, a second sketch counts every shingle once and so agrees with the set Jaccard similarity; its
+bands go to the same buckets (without repeats both sketches are the same), and a pair is promising if either agrees.
+
 Documents are linked if the Jaccard similarity of their shingle sets or the probability Jaccard similarity of their
 weighted shingles is `LEAST` or more, both computed exactly from the shingles. Classes are the connected components.
 
@@ -113,6 +116,19 @@ def sketches(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     return who.reshape(n, m)
 
 
+def both_sketches(of: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches of n rows by counts and with every shingle once, and which rows have repeats (elsewhere both are the same)."""
+    repeats = np.zeros(n, bool)
+    repeats[of[count > 1]] = True
+    weighted = sketches(of, h, count.astype(np.float64), n)
+    unit = weighted.copy()
+    some = repeats[of]
+    if some.any():
+        rank = np.cumsum(repeats) - 1
+        unit[repeats] = sketches(rank[of[some]], h[some], np.ones(int(some.sum())), int(repeats.sum()))
+    return weighted, unit, repeats
+
+
 def _bands(registers: np.ndarray) -> np.ndarray:
     n = len(registers)
     factors = B.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -121,9 +137,8 @@ def _bands(registers: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, two fingerprints of the word sequence (of the text without words; null if empty), and the band keys (null
-    without words).
-    """
+    """doc_id, two fingerprints of the word sequence (of the text without words; null if empty), and the band keys of both
+    sketches (null without words)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +154,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                     behind = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
                     prints.append(B.mix(behind[begins[1:]] - behind[begins[:-1]] + counts.astype(np.uint64)).view(np.int64))
                 of, h, count = shingles(raw, offsets)
-                bands = _bands(sketches(of, h, count.astype(np.float64), n))
+                weighted, unit, repeats = both_sketches(of, h, count, n)
+                bands, once = _bands(weighted), _bands(unit)
                 empty = counts == 0
-                ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel()), mask=pa.array(empty))
+                at = np.where(empty, 0, BANDS) + np.where(repeats, BANDS, 0)
+                ends = np.concatenate([[0], np.cumsum(at)]).astype(np.int32)
+                flat = np.concatenate([bands, once], axis=1)[np.concatenate([np.repeat(~empty[:, None], BANDS, 1), np.repeat(repeats[:, None], BANDS, 1)], axis=1)]
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(empty))
                 # Texts without words: fingerprints of all bytes.
                 for k in np.flatnonzero(empty & (np.diff(offsets) > 0)).tolist():
                     digest = hashlib.blake2b(raw[offsets[k] : offsets[k + 1]].tobytes(), digest_size=16).digest()
@@ -154,15 +172,17 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc, its distinct shingles (ascending) with counts, and a byte of each register of its sketch."""
+    """doc, its distinct shingles (ascending) with counts, and a byte of each register of its two sketches (one, if they are the same)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in B.pieces(batch.column(1)):
                 of, h, count = shingles(raw, offsets)
                 ends = pa.array(np.searchsorted(of, np.arange(hi - lo + 1)).astype(np.int32))
-                short = (B.mix(sketches(of, h, count.astype(np.float64), hi - lo)) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))), pa.array([r.tobytes() for r in short], pa.binary())], names=["doc", "shingles", "counts", "sketch"])
+                weighted, unit, repeats = both_sketches(of, h, count, hi - lo)
+                short, once = ((B.mix(s) & np.uint64(255)).astype(np.uint8) for s in (weighted, unit))
+                sketch = [s.tobytes() + (o.tobytes() if again else b"") for s, o, again in zip(short, once, repeats.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))), pa.array(sketch, pa.binary())], names=["doc", "shingles", "counts", "sketch"])
 
     return docs.mapInArrow(B.task(read), "doc long, shingles array<long>, counts array<int>, sketch binary")
 
@@ -173,17 +193,24 @@ def promising(table: pa.Table) -> pa.Table:
     A pair comes from the smallest key of the mixed buckets that both are in, so only once.
     """
     doc, root, block = (table[c].to_numpy() for c in ("doc", "root", "block"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
+    stored = table["sketch"].to_pylist()
+    sketch = np.frombuffer(b"".join(s[:REGISTERS] for s in stored), np.uint8).reshape(len(doc), REGISTERS)
+    repeats = np.array([len(s) > REGISTERS for s in stored], bool)
+    once = np.frombuffer(b"".join(s[-REGISTERS:] for s in stored), np.uint8).reshape(len(doc), REGISTERS) if repeats.any() else sketch
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     key, own = table["key"][0].as_py(), table["keys"].combine_chunks()
-    keys = np.full((len(doc), BANDS), np.iinfo(np.int64).max)
     counts = np.diff(own.offsets.to_numpy())
+    keys = np.full((len(doc), int(counts.max())), np.iinfo(np.int64).max)
     keys[np.repeat(np.arange(len(doc)), counts), np.concatenate([np.arange(c) for c in counts])] = own.flatten().to_numpy()
     a, b = [], []
     for x in left.tolist():
         others = right[(root[right] != root[x]) & ((doc[right] > doc[x]) | (i != j))]
-        hit = others[(sketch[others] == sketch[x]).sum(axis=1) >= PROMISING * REGISTERS]
+        agree = (sketch[others] == sketch[x]).sum(axis=1)
+        again = np.flatnonzero(repeats[others] | repeats[x])
+        if len(again):
+            agree[again] = np.maximum(agree[again], (once[others[again]] == once[x]).sum(axis=1))
+        hit = others[agree >= PROMISING * REGISTERS]
         before = keys[x][keys[x] < key]
         if len(before) and len(hit):
             hit = hit[~np.isin(keys[hit], before).any(axis=1)]
@@ -273,7 +300,7 @@ def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_lead = F.transform(F.sequence(F.col("n_other"), F.col("n_other") + F.col("n_lead") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
     tasks = blocks.withColumn("t", F.explode(F.when(F.col("other"), F.concat(with_others, with_lead)).otherwise(with_others)))
     tasks = tasks.select("key", "t.i", "t.j", "doc", "root", "block")
-    tasks = tasks.join(sets.select("doc", "sketch").join(mixed.groupBy("doc").agg(F.slice(F.sort_array(F.collect_set("key")), 1, BANDS).alias("keys")), "doc"), "doc")
+    tasks = tasks.join(sets.select("doc", "sketch").join(mixed.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys")), "doc"), "doc")
     found = tasks.groupBy("key", "i", "j").applyInArrow(promising, "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
     more = storage.kept(_verified(storage.kept(found, "near-promising"), sets), "near-more")
     return member, edges.unionByName(more.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
