@@ -2,9 +2,9 @@
 
 A text is the set of its byte n-grams (lengths `GRAMS`, over lower-cased text in which every run of other bytes than
 letters is one space); each n-gram is hashed to a row of an embedding table, the rows are averaged, and a linear
-softmax gives the classes. Both layers are trained by stochastic gradient descent in numpy on the driver, over at
-most `SAMPLE` labelled documents (whole texts, in the order of a hash of doc_id), cut into passages so that short
-texts are learned as well. Since averaging and the last layer are linear, the trained model ships as one table of
+softmax gives the classes. Both layers are trained by stochastic gradient descent in numpy in one task, over at
+most `SAMPLE` labelled documents of at most `SAMPLE_BYTES` in all (whole texts, in the order of a hash of doc_id), cut into
+passages so that short texts are learned as well; only the model comes to the driver. Since averaging and the last layer are linear, the trained model ships as one table of
 a logit per bucket and class, and scoring is a gather and a sum.
 
 Calibration: on a tenth of the passages kept from training, a temperature is fitted by likelihood, and the rejection
@@ -12,8 +12,8 @@ threshold is set to the calibrated confidence below which passages are wrong mor
 
 The result has lang_pred (the best class, or `und` where the text is null or has no letter, with score 0), score
 (its calibrated probability) and rejected (score under the threshold, or `und`). Documents with a null lang are
-scored but teach nothing. Repeated rows keep their multiplicity and extra columns are kept. Without any labelled row
-every text is `und`.
+scored but teach nothing. Of equally likely classes the first by name counts. Repeated rows keep their multiplicity
+(and teach once), extra columns are kept, and the result's names win over clashing ones. Without any labelled row every text is `und`.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from variorum.llm import bytesops as B
+from variorum.llm.training import in_one_task, training_rows
 
 #: The most labelled documents that a fit reads.
 SAMPLE = 3000
+#: The most bytes of their texts.
+SAMPLE_BYTES = 64 << 20
 BITS = 15
 DIM = 16
 GRAMS = (1, 2, 3, 4)
@@ -197,13 +200,11 @@ def train(texts: list[bytes], langs: list[str], seed: int = 11, limit: int = 30_
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the documents that are not held out and have a lang, at most `sample` of them."""
     open_ = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = open_.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)
-    rows = open_.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
-    return train(rows["text"].cast(pa.large_binary()).to_pylist(), rows["lang"].to_pylist())
+    rows = training_rows(open_, ["lang"], sample, sample_bytes)
+    return in_one_task(rows, lambda table: train(table["text"].cast(pa.large_binary()).to_pylist(), table["lang"].to_pylist()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

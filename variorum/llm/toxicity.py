@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learned from document labels.
 
-A document is a bag of sentences and is toxic if some sentence is. A sentence's score is the logistic of a sum of
-hashed feature weights (each word, and its prefixes of 4 to 6 bytes, counted once a sentence); a document's is 1 - prod(1 - sentence score).
+A document is a bag of sentences and is toxic if some sentence is. A sentence's score is the logistic of a prior (less, the
+more sentences there are) and a sum of hashed feature weights (each word, and its prefixes of 4 to 6 bytes, counted once a
+sentence); a document's is 1 - prod(1 - sentence score), in training as in scoring.
 Only documents are labelled; the gradient of the noisy-or hands the blame to the sentences that best explain a
 label, so the fitted model also locates the offending sentences.
 
 The fit is by proximal AdaGrad (an L1 penalty keeps the weights of words that mean nothing at exactly zero) in
-numpy on the driver, over at most `SAMPLE` labelled documents, taken whole in the order of a hash of doc_id.
+numpy in one task, over at most `SAMPLE` labelled documents of at most `SAMPLE_BYTES` in all, taken whole in the order of a
+hash of doc_id; only the weights come to the driver. A doc_id that is labelled twice is toxic if one label says so.
 Scoring covers every document's whole text. Words are runs of ASCII letters, digits and bytes beyond ASCII, in
 lower case; sentences end with . ! ? or a line feed.
 
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from variorum.llm import bytesops as B
+from variorum.llm.training import in_one_task, training_rows
 
 #: The most labelled documents that a fit reads.
 SAMPLE = 6000
+#: The most bytes of their texts.
+SAMPLE_BYTES = 64 << 20
 BITS = 18
 BUCKETS = 1 << BITS
 PREFIXES = (4, 5, 6)
@@ -38,10 +43,9 @@ LEAN = 1.0
 RATE = 1.0
 PENALTY = 2e-4
 OFFENDING = 0.5
-#: Log-odds of a sentence without telling words: so low that even a book of them stays clean.
-PRIOR = -10.0
-#: Sentences under this score count as clean in a document's score, else a book's worth of them would add up.
-FLOOR = 0.05
+#: Log-odds of the only sentence of a document, without telling words. In a document of n sentences they are less by log n:
+#: a document is as likely to be toxic whatever its length, and faint sentences of a book don't add up.
+PRIOR = -7.0
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -90,6 +94,11 @@ def _noisy_or(p: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(B.sums_by_row(np.log1p(-np.minimum(p, 1 - 1e-12)), rows, n))
 
 
+def _prior(bias: float, rows: np.ndarray, n: int) -> np.ndarray:
+    """Log-odds of every sentence before its words are looked at."""
+    return bias - np.log(np.maximum(np.bincount(rows, minlength=n), 1))[rows]
+
+
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     """Fits on whole texts and their 0/1 labels."""
     y = np.asarray(toxic, np.float64)
@@ -105,7 +114,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     for epoch in range(EPOCHS):
         for g in rng.permutation(len(groups)):
             lo, hi, buckets, of, rows = groups[g]
-            p = _logistic(bias + B.sums_by_row(weights[buckets], of, len(rows)))
+            p = _logistic(_prior(bias, rows, hi - lo) + B.sums_by_row(weights[buckets], of, len(rows)))
             doc = np.clip(_noisy_or(p, rows, hi - lo), 1e-9, 1 - 1e-9)
             yy = y[lo:hi]
             # d loss / d z of a sentence: p if the document is clean, else -(1 - P) / P * p.
@@ -120,13 +129,17 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     return Model(weights.astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled documents that are not held out, at most `sample` of them."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows["text"].combine_chunks(), rows["toxic"].to_numpy())
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = training_rows(docs.select("doc_id", "text").where("text is not null").join(known, "doc_id"), ["toxic"], sample, sample_bytes)
+
+    def learn(table: pa.Table) -> tuple[bytes, float]:
+        model = train(table["text"].combine_chunks(), table["toxic"].to_numpy())
+        return model.weights.tobytes(), model.bias
+
+    weights, bias = in_one_task(rows, learn)
+    return Model(np.frombuffer(weights, np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,8 +160,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, raw, offsets in B.pieces(batch.column(at)):
                 n = hi - lo
                 buckets, of, rows, s_from, s_to = _features(raw, offsets, useful)
-                p = _logistic(bias + B.sums_by_row(weights[buckets], of, len(rows)))
-                total = np.clip(_noisy_or(np.where(p < FLOOR, 0, p), rows, n), 0.0, 1.0)
+                p = _logistic(_prior(bias, rows, n) + B.sums_by_row(weights[buckets], of, len(rows)))
+                total = np.clip(_noisy_or(p, rows, n), 0.0, 1.0)
                 bad = np.flatnonzero(p >= OFFENDING)
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 for i in bad.tolist():
