@@ -11,11 +11,14 @@ Blank lines (of spaces, tabs, form feeds and carriage returns) stay. Texts are j
 3. Their neighbourhood: every variant with one character deleted is emitted as a hashed key with its place. Two lines of
    one variant and place differ by a replacement; a line that is a variant of another differs by a deletion. In a group
    of equal keys each line is paired with the earliest only (all in such a group are within one edit of each other), so
-   pairs grow with lines and not with their square.
+   pairs grow with lines and not with their square. A key is hashed from three parts: what stands before the `SEGMENT`
+   characters around the place, the segment without the character, and what stands behind. The outer two are hashed once
+   for a segment, so a line of n characters costs about SEGMENT hashed characters for a variant, and not n.
 4. Pairs are verified by edit distance, the later line goes, and the texts are assembled from the lines left.
 
-Identical rows count as one document: both keep the same lines. Null texts stay null, empty texts empty. Extra columns
-are kept; n_lines, n_equal and n_near (lines dropped by 1 and by 3) are added in place of any columns of those names.
+Lines and texts may be of any length. Identical rows count as one document: both keep the same lines. Null texts stay null,
+empty texts empty, an empty table stays empty. Extra columns are kept; n_lines, n_equal and n_near (lines dropped by 1 and
+by 3) are added in place of any columns of those names.
 """
 
 from __future__ import annotations
@@ -27,8 +30,14 @@ from variorum.llm import storage
 
 #: Characters from which a line has near duplicates besides equal ones.
 NEAR_FROM = 20
+#: The most edits between near lines. One is what makes all lines of one variant and place each other's neighbours.
+EDITS = 1
+#: Characters around a deleted one that are hashed with each variant.
+SEGMENT = 64
+#: Variants that a task emits.
+VARIANTS = 2_000_000
 #: Keys and lines up to this number (24 bytes each) are broadcast, else joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 _BLANK = " \t\r\f"
 
 
@@ -42,13 +51,13 @@ def _hashes(line: Column) -> dict[str, Column]:
     return {"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(17), line)}
 
 
-def _halves() -> Column:
+def _halves(near_from: int) -> Column:
     """Hashes of both halves of `line`, for pairs whose shorter line has its length or one less."""
     out = []
     for shortest in ("n", "n - 1"):
         out.append(f"xxhash64(1, {shortest}, substring(line, 1, ({shortest}) div 2))")
         out.append(f"xxhash64(2, {shortest}, substring(line, cast(n - ({shortest}) div 2 + 1 as int), ({shortest}) div 2))")
-    return F.expr(f"case when n >= {NEAR_FROM} then array({', '.join(out)}) end")
+    return F.expr(f"case when n >= {near_from} then array({', '.join(out)}) end")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,17 +66,40 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.btrim("line", F.lit(_BLANK)) != "")
 
 
+def _segments(length: str) -> str:
+    """SQL: the segments of a line of `length` characters, numbers and sizes."""
+    return f"transform(sequence(0, ({length} - 1) div {SEGMENT}), j -> struct(j * {SEGMENT} as s, least({SEGMENT}, {length} - j * {SEGMENT}) as m))"
+
+
+def _variants() -> Column:
+    """place and variant (a hash) of every deletion of one character of `line`."""
+    outer = "xxhash64(7, substring(line, 1, g.s)) as before, xxhash64(9, substring(line, g.s + g.m + 1)) as behind, substring(line, g.s + 1, g.m) as own"
+    parts = f"transform({_segments('length(line)')}, g -> struct(g.s, g.m, {outer}))"
+    one = "xxhash64(p.before, concat(substring(p.own, 1, i - 1), substring(p.own, i + 1)), p.behind)"
+    return F.expr(f"flatten(transform({parts}, p -> transform(sequence(1, p.m), i -> struct(p.s + i as place, {one} as variant))))")
+
+
+def _as_variant() -> Column:
+    """The keys under which a line of one character more would emit `line`, one for each of its segments."""
+    return F.expr(f"transform({_segments('(length(line) + 1)')}, g -> xxhash64(xxhash64(7, substring(line, 1, g.s)), substring(line, g.s + 1, g.m - 1), xxhash64(9, substring(line, g.s + g.m))))")
+
+
 def _position() -> Column:
     return F.struct("doc_id", "text_hash", "line_no")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with texts from which repeated lines are gone."""
+def dedup(docs: DataFrame, near_from: int = NEAR_FROM, edits: int = EDITS) -> DataFrame:
+    """docs with texts from which repeated lines are gone.
+
+    near_from: characters from which lines within `edits` of an earlier one go too; edits: 1, or 0 for equal lines only.
+    """
+    if edits not in (0, 1):
+        raise ValueError("lines of one deletion variant are within one edit of each other, so edits is 0 or 1")
     base = docs.drop("n_lines", "n_equal", "n_near")
     lines = _lines(base)
 
     # 1. Distinct lines and their first positions.
-    hashed = lines.withColumn("n", F.length("line")).select(*(c.alias(k) for k, c in _hashes(F.col("line")).items()), _position().alias("at"), _halves().alias("halves"))
+    hashed = lines.withColumn("n", F.length("line")).select(*(c.alias(k) for k, c in _hashes(F.col("line")).items()), _position().alias("at"), (_halves(near_from) if edits else F.lit(None).cast("array<bigint>")).alias("halves"))
     distinct = storage.kept(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")), "line-distinct")
 
     # 2. Lines that share a half with another line.
@@ -82,13 +114,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
     texts = lines.join(_near(first), same).select("h1", "h2", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
     texts = storage.kept(texts, "line-texts")
-    variant = "xxhash64(7, concat(substring(line, 1, cast(i - 1 as int)), substring(line, cast(i + 1 as int))))"
-    variants = texts.select("h1", "h2", "at", F.explode(F.expr(f"transform(sequence(1, length(line)), i -> struct(i as place, {variant} as variant))")).alias("v")).select("h1", "h2", "at", "v.place", "v.variant")
-    variants = storage.kept(variants, "line-variants")
+    # A line becomes as many rows as it has characters: tasks are dealt by characters, not by lines.
+    size = texts.agg(F.sum(F.length("line"))).head()[0] or 0
+    spread = texts.repartition(1 + size // VARIANTS, "h1")
+    variants = storage.kept(spread.select("h1", "h2", "at", F.explode(_variants()).alias("v")).select("h1", "h2", "at", "v.place", "v.variant"), "line-variants")
     me = F.struct("at", "h1", "h2")
     leaders = variants.groupBy("variant", "place").agg(F.min(me).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     replaced = variants.join(leaders, ["variant", "place"]).where("at > leader.at").select(F.struct("h1", "h2").alias("late"), F.struct("leader.h1", "leader.h2").alias("early"))
-    whole = texts.select(F.expr("xxhash64(7, line)").alias("variant"), F.struct("at", "h1", "h2").alias("short"))
+    whole = texts.select(F.explode(F.array_distinct(_as_variant())).alias("variant"), F.struct("at", "h1", "h2").alias("short"))
     deleted = variants.join(whole, "variant").select(F.struct("at", "h1", "h2").alias("long"), "short")
     longer_later = F.col("long.at") > F.col("short.at")
     deleted = deleted.select(*(F.struct(*(F.when(cond, F.col(f"long.{h}")).otherwise(F.col(f"short.{h}")).alias(h) for h in ("h1", "h2"))).alias(name) for name, cond in (("late", longer_later), ("early", ~longer_later))))
