@@ -7,11 +7,12 @@ agree in a register with the probability Jaccard similarity. A shingle whose nex
 first one can't change anything, and stops; arrivals are drawn in blocks that double until all have stopped.
 
 `BANDS` bands of the sketch are hashed to buckets. Texts of equal word sequences are one class from the start and only
-their smallest id goes into buckets. In a bucket everyone is compared with its leader (the smallest id), so a group of
-copies costs a comparison for each and not for each pair, and no group is gathered in one task. The links found so far
-join documents to components. Buckets that still hold several components are cut into blocks of about `BLOCK` documents,
-and pairs of blocks are compared by their sketches, in memory and only across components; pairs whose sketches agree in
-`PROMISING` of the registers or more are verified too (a pair at the threshold falls short of that once in 20,000 times).
+their smallest id goes into buckets. In a bucket everyone is compared with its leader (the member that shares most places
+with others), so a group of copies costs a comparison for each and not for each pair, and no group is gathered in one task.
+The links found so far join documents to components. Of buckets that still hold several components, those documents that
+aren't in the leader's are compared with all others by their sketches, in blocks of about `BLOCK` documents, in memory and
+only across components; pairs whose sketches agree in `PROMISING` of the registers or more are verified too (a pair at the
+threshold falls short of that once in 20,000 times).
 
 Where a shingle is repeated, a second sketch counts every shingle once and so agrees with the set Jaccard similarity; its
 bands go to the same buckets (without repeats both sketches are the same), and a pair is promising if either agrees.
@@ -19,8 +20,10 @@ bands go to the same buckets (without repeats both sketches are the same), and a
 Documents are linked if the Jaccard similarity of their shingle sets or the probability Jaccard similarity of their
 weighted shingles is `LEAST` or more, both computed exactly from the shingles. Classes are the connected components.
 
-Texts without words that aren't empty are linked if they are equal. Empty and null texts are classes of their own. Rows with one doc_id are one document. Rows with a null
-doc_id get a null class. An empty table gives an empty result.
+Texts without words that aren't empty are linked if they are equal. Empty and null texts are classes of their own. Rows
+with one doc_id are one document. Rows with a null doc_id get a null class. A pair at exactly `LEAST` is linked. Texts are
+taken whole; a very long one is a piece of work of its own. Columns but doc_id and text take no part. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -43,14 +46,17 @@ BANDS, ROWS = 56, 9
 REGISTERS = BANDS * ROWS
 #: The share of registers in which two sketches agree to be verified, and the size of blocks.
 PROMISING, BLOCK = 0.73, 1024
+#: Pairs of one leader that are verified together.
+SHARE = 256
 #: Rows of at most 24 bytes that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 50_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _near(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _near(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df (a written table, or of a known number of rows), marked for broadcast if its size allows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +223,7 @@ def promising(table: pa.Table) -> pa.Table:
         a.append(np.full(len(hit), doc[x]))
         b.append(doc[hit])
     a, b = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return pa.table({"lead": np.minimum(a, b), "doc": np.maximum(a, b)})
 
 
 def similarities(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> tuple[float, float]:
@@ -238,7 +244,10 @@ def similarities(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with both similarities."""
+    """pairs (lead, doc) with both similarities.
+
+    A lead of many pairs is a hot key; its pairs are dealt to groups of about `SHARE`, each with a copy of the lead's set.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,19 +259,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 own = [v[o[i] : o[i + 1]] for o, v in lists.values()]
                 out[i] = similarities(*own)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b", "set_j", "prob_j"])
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("doc"), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["lead", "doc", "set_j", "prob_j"])
 
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    some = pairs.count() <= BROADCAST_ROWS
-    if some:
-        # Few pairs: their ids go to the sets, so that only sets in question are shuffled.
-        left = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
-        right = right.join(F.broadcast(pairs), "b").select("a", "b", "sb", "cb")
-        joined = right.join(left, "a")
-    else:
-        joined = pairs.join(right, "b").join(left, "a")
-    return joined.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(B.task(read), "a long, b long, set_j double, prob_j double")
+    shares = _near(storage.kept(pairs.groupBy("lead").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("n")), "near-shares"))
+    dealt = pairs.join(shares, "lead").select("lead", "doc", F.pmod(F.xxhash64("doc"), "n").cast("int").alias("share"))
+    own = sets.select("doc", "shingles", "counts")
+    right = own.join(_near(dealt, pairs.count()), "doc").select("lead", "share", "doc", F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+    left = own.join(shares.withColumnRenamed("lead", "doc"), "doc").select(F.col("doc").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
+    joined = right.join(left, ["lead", "share"])
+    return joined.select("lead", "doc", "sa", "ca", "sb", "cb").mapInArrow(B.task(read), "lead long, doc long, set_j double, prob_j double")
 
 
 def _linked() -> Column:
@@ -275,35 +280,40 @@ def links(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = storage.kept(sketch.where("f1 is not null").select("doc_id", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "rep").distinct(), "near-members")
     # A document that has several rows is represented where any of its texts is.
     own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
-    banded = own.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key")).distinct()
-    alone = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = storage.kept(banded.join(alone, "key"), "near-buckets")
+    banded = own.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    shared = storage.kept(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key", "n"), "near-keys")
+    rest = storage.kept(banded.join(_near(shared), "key").distinct(), "near-buckets")
 
     wanted = storage.kept(rest.select("doc").distinct(), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_near(wanted), "doc", "left_semi")
     sets = storage.kept(_sets(texts), "near-sets")
-    leaders = rest.groupBy("key").agg(F.min("doc").alias("leader"))
-    pairs = rest.join(leaders, "key").where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    done = storage.kept(_verified(storage.kept(pairs, "near-pairs"), sets), "near-verified")
-    edges = done.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(edges, "near-components")
+    # The leader of a bucket is its member with the most company in all of its buckets: the original among edited copies.
+    company = rest.groupBy("doc").agg(F.sum("n").alias("company"))
+    leaders = storage.kept(rest.join(company, "doc").groupBy("key").agg(F.max(F.struct("company", (-F.col("doc")).alias("d"))).alias("m")).select("key", (-F.col("m.d")).alias("lead")), "near-leaders")
+    pairs = storage.kept(rest.join(_near(leaders), "key").where("doc <> lead").select("lead", "doc").distinct(), "near-pairs")
+    done = storage.kept(_verified(pairs, sets), "near-verified")
+    edges = done.where(_linked()).select(F.col("lead").alias("u"), F.col("doc").alias("v"))
+    roots = storage.kept(components(edges, "near-components"), "near-roots")
 
     # Buckets with several components: blocks 0 ... hold what isn't in the leader's, the next ones what is.
-    rooted = rest.join(roots, rest["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    first = rooted.groupBy("key").agg(F.min(F.struct("doc", "root")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.col("m.root").alias("lead"))
-    mixed = storage.kept(rooted.join(first, "key").withColumn("other", F.col("root") != F.col("lead")).drop("lead"), "near-mixed")
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count_if("other") / BLOCK).cast("int").alias("n_other"), F.ceil(F.count_if(~F.col("other")) / BLOCK).cast("int").alias("n_lead"))
+    rooted = rest.join(_near(roots.withColumnRenamed("node", "doc")), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    rooted = storage.kept(rooted, "near-rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    lead = leaders.join(several, "key").join(_near(roots.withColumnRenamed("node", "lead")), "lead", "left").select("key", F.coalesce("root", "lead").alias("home"))
+    mixed = storage.kept(rooted.join(_near(storage.kept(lead, "near-homes")), "key").withColumn("other", F.col("root") != F.col("home")).drop("home"), "near-mixed")
+    sizes = storage.kept(mixed.groupBy("key").agg(F.ceil(F.count_if("other") / BLOCK).cast("int").alias("n_other"), F.ceil(F.count_if(~F.col("other")) / BLOCK).cast("int").alias("n_lead")), "near-sizes")
     spread = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     block = F.when(F.col("other"), spread(F.col("n_other"))).otherwise(F.col("n_other") + spread(F.col("n_lead")))
-    blocks = mixed.join(sizes, "key").withColumn("block", block)
+    blocks = mixed.join(_near(sizes), "key").withColumn("block", block)
     with_others = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     with_lead = F.transform(F.sequence(F.col("n_other"), F.col("n_other") + F.col("n_lead") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
     tasks = blocks.withColumn("t", F.explode(F.when(F.col("other"), F.concat(with_others, with_lead)).otherwise(with_others)))
     tasks = tasks.select("key", "t.i", "t.j", "doc", "root", "block")
     tasks = tasks.join(sets.select("doc", "sketch").join(mixed.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys")), "doc"), "doc")
-    found = tasks.groupBy("key", "i", "j").applyInArrow(promising, "a long, b long").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = storage.kept(_verified(storage.kept(found, "near-promising"), sets), "near-more")
-    return member, edges.unionByName(more.where(_linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = tasks.groupBy("key", "i", "j").applyInArrow(promising, "lead long, doc long").distinct()
+    tried = done.select(F.least("lead", "doc").alias("lead"), F.greatest("lead", "doc").alias("doc"))
+    more = storage.kept(_verified(storage.kept(found.join(tried, ["lead", "doc"], "left_anti"), "near-promising"), sets), "near-more")
+    return member, roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.where(_linked()).select(F.col("lead").alias("u"), F.col("doc").alias("v")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
