@@ -1,11 +1,12 @@
 """License scans over a positional index of rare words.
 
-Templates are short word sequences with mandatory key phrases. The corpus gives each word of their vocabulary
-a document frequency; every template is posted, by position, under its words of highest IDF. In a text, those
-words that the index knows look up postings, and each hit proposes an alignment (text position less template
-position). Alignments are verified by relative position: the key phrases must stand whole, and the IDF mass of
-the words in place must reach the template's threshold. A base phrase is a template that is all key phrase, so
-every place where it stands has its rarest word there and is found.
+Templates are word sequences with mandatory key phrases: notices of a line, and whole texts of short licences. The corpus
+gives each word of their vocabulary a document frequency; every template is posted, by position, under its words of highest
+IDF (at least `POSTED`, and one for every `EVERY` words of a long one). In a text, those rare words look up their postings,
+however many there are, and each hit proposes an alignment (text position less template position). Alignments are verified
+by relative position: the key phrases must stand whole, and the IDF mass of the words in place must reach the template's
+threshold. A base phrase is a template that is all key phrase, so every place where it stands has its rarest word there and
+is found. Words of equal IDF are posted by position. All templates that fit are reported, ties among them too.
 
 Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z.
 A null text counts as empty: no words, no places, empty label strings, score 0. Repeated rows keep their
@@ -26,6 +27,7 @@ from variorum.llm import bytesops as B
 
 #: Words under which a template is posted: its rarest ones.
 POSTED = 3
+EVERY = 12
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,32 @@ NOTICES = [
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",), 0.7),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",), 0.7),
 ]
-TEMPLATES = [*BASE, *NOTICES]
+#: Whole texts of short licences, without titles and copyright lines.
+_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+TEXTS = [
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("deal in the software without restriction", "sublicense and or sell copies of the software", "shall be included in all copies or substantial portions"),
+        0.6,
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ("copy modify and or distribute this software for any purpose", "the author disclaims all warranties", "negligence or other tortious action"),
+        0.6,
+    ),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce"), 0.6),
+    Template("bsd", f"{_AS_IS} in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages", ("by the copyright holders and contributors as is", "special exemplary or consequential damages"), 0.7),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        ("to alter it and redistribute it freely", "the origin of this software must not be misrepresented"),
+        0.6,
+    ),
+]
+TEMPLATES = [*BASE, *NOTICES, *TEXTS]
 
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,coverage:double>>"
 
@@ -151,7 +178,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     index: dict[int, list[tuple[int, int]]] = {}
     for k, (t, numbers) in enumerate(zip(templates, numbered, strict=True)):
         # Key words are the ones sure to be there; the rarest of them finds every place.
-        places = sorted(t.key_places(), key=lambda p: (-weights[numbers[p]], p))[: 1 if t.base else POSTED]
+        places = sorted(t.key_places(), key=lambda p: (-weights[numbers[p]], p))[: 1 if t.base else max(POSTED, len(numbers) // EVERY)]
         for p in places:
             index.setdefault(int(numbers[p]), []).append((k, p))
     posted = np.zeros(len(vocabulary.words) + 1, bool)  # the last is for -1
@@ -175,7 +202,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
                 at = begins + j
                 inside = (at >= 0) & (at < len(numbers))
                 got[inside, j] = (numbers[at[inside]] == number) & (rows[at[inside]] == row[inside])
-            coverage = got @ weights[want] / weights[want].sum()
+            coverage = np.clip(got @ weights[want] / weights[want].sum(), 0.0, 1.0)
             good = got[:, keys[k]].all(axis=1) & (coverage >= templates[k].least - 1e-9)
             if good.any():
                 out.append((k, begins[good], coverage[good]))
