@@ -15,7 +15,8 @@ names hold the task attempt that wrote them, and only the names that a committed
 executors, repeated tasks and speculation can leave stray files but no wrong or half archive in the result.
 
 A null payload counts as empty and a null url as the empty target. Rows with a null id or equal ids are records all the
-same. An empty table writes no archive and reads back no row.
+same; among equal rows of the largest id, all are responses. Payloads may be of any length; one over `ARCHIVE` is an archive
+alone. Columns besides id, url and payload take no part, whatever their names. An empty table writes no archive and reads back no row.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ LEVEL = 1
 #: Digests that occur more than once are broadcast up to this number of rows (about 40 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Characters of a URL that a header shows as they are; all others, the percent sign among them, are escaped and come back.
+_PLAIN = ":/?#[]@!$&()*+,;=-._~"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -78,7 +81,7 @@ def record(page_id: int | None, url: str, kind: str, digest: str, size: int, pay
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{name}>",
-        f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~')}",
+        f"WARC-Target-URI: {quote(url, safe=_PLAIN)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
         f"X-Payload-Length: {size}",
@@ -182,6 +185,11 @@ def inflated(stream, step: int = 1 << 20) -> Iterator[bytes]:  # noqa: ANN001
         raise ValueError("the archive ends within a record")
 
 
+def _apart(archives: DataFrame) -> DataFrame:
+    """The (written) table of archives with a partition for each, so that every archive is a task of its own."""
+    return archives.repartitionByRange(max(archives.count(), 1), "archive")
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites every archive with a member for each record and a sidecar index; returns (archive, index, records)."""
 
@@ -206,8 +214,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     out.write("".join(x + "\n" for x in lines).encode())
                 yield pa.RecordBatch.from_pydict({"archive": [final], "index": [f"{final}.idx"], "records": [len(lines)]})
 
-    spread = archives.select("archive").repartition("archive")
-    return storage.kept(spread.mapInArrow(rewrite, "archive string, index string, records long"), "warc-normalised")
+    return storage.kept(_apart(archives.select("archive")).mapInArrow(rewrite, "archive string, index string, records long"), "warc-normalised")
 
 
 def read(normalised: DataFrame, folder: str) -> DataFrame:
@@ -241,7 +248,7 @@ def read(normalised: DataFrame, folder: str) -> DataFrame:
                 types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return normalised.select("archive", "index").repartition("archive").mapInArrow(parse, RECORDS)
+    return _apart(normalised.select("archive", "index")).mapInArrow(parse, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
