@@ -41,13 +41,13 @@ _ENCODE = """
 WITH RECURSIVE t(w, pos, id, active) AS (
   SELECT w, pos, id, true FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = (best >> 24) & 16777215 THEN (best >> 48)::INT ELSE id END, best IS NOT NULL
+  SELECT w, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INT ELSE id END, best IS NOT NULL
   FROM (
-    SELECT w, pos, id, min((m.rank::UBIGINT << 48) | (pos::UBIGINT << 24) | follower::UBIGINT) OVER (PARTITION BY w) AS best
-    FROM (SELECT w, pos, id, lead(id) OVER r AS neighbour, lead(pos) OVER r AS follower FROM t WHERE active WINDOW r AS (PARTITION BY w ORDER BY pos)) a
+    SELECT w, pos, id, behind, min((m.rank::UBIGINT << 32) | pos::UBIGINT) OVER (PARTITION BY w) AS best
+    FROM (SELECT w, pos, id, lead(id) OVER r AS neighbour, coalesce(lag(pos) OVER r, -1) AS behind FROM t WHERE active WINDOW r AS (PARTITION BY w ORDER BY pos)) a
     LEFT JOIN merges m ON a.id = m.l AND a.neighbour = m.r
   )
-  WHERE best IS NULL OR pos <> best & 16777215
+  WHERE best IS NULL OR behind <> (best & 4294967295)::BIGINT
 )
 SELECT w, pos, id FROM t WHERE NOT active ORDER BY w, pos
 """
