@@ -7,36 +7,49 @@ distributed). A query takes candidates by increasing projected distance from kd-
 vectors; it stops when the next projected distance is so large that, with probability `CERTAINTY`, nothing nearer than
 its present k-th neighbour lies beyond: delta^2 > d_k^2 * chi2^-1(CERTAINTY; DIMS).
 
-Distribution: a kd-tree over a bounded sample of projections (`SAMPLE` rows) cuts space into cells of about `CELL`
-vectors; every vector is indexed in its cell, whose own kd-tree is built where it is searched. Queries first search
-their home cell; the k-th distance found there bounds the ball that decides which other cells they visit. Per query
-and cell a bounded list comes back, and the lists are merged by a window with a limit per group.
+Distribution: a kd-tree cuts space into cells. It grows from one cell: a cell of more than twice `CELL` vectors is split by
+medians of a bounded sample of its projections (`SAMPLE` rows), until none is left, so cells stay small however large the
+table is; every vector is indexed in its cell, whose own kd-tree is built where it is searched. What the driver holds is the
+tree: a few numbers for every `CELL` / 2 vectors. Queries visit cells in rounds: first their own, then by increasing
+projected distance 4 more, 16 more and so on, always with the distance of the k-th neighbour found so far, until the test
+stops them. A cell that many queries visit is searched by `VISITS` at a time, in several tasks. Per query and cell a bounded
+list comes back, and lists are merged by a window with a limit per group.
 
 Equal vectors are one point that keeps its k + 1 smallest ids: ties go to smaller ids, so no others can be among the k
 nearest of anything. Equal queries are searched once. Vectors that are null, zero, not of the table's usual length, or
 hold null or non-finite components take no part, neither as queries nor as candidates; equal (id, vector) rows count
-once, and rows with a null id don't count. An empty table gives an empty result.
+once, and rows with a null id don't count. An id that comes with several vectors is one query and one candidate, by the best
+of its vectors, and never its own neighbour (with many such ids, fewer than k may be found). Columns but the two named take
+no part, whatever their names, unless is_query reads them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from variorum.llm import bytesops as B
 from variorum.llm import storage
 
 DIMS = 12
 CERTAINTY = 0.95
 CELL = 8192
 LEAF = 64
-#: Projected rows from which the cells' planes are taken; the index itself holds every row.
+#: Projected rows of a cell from which its planes are taken; the index itself holds every row.
 SAMPLE = 40_000
 #: Candidates of which exact scores are taken, beyond the k + 1 wanted.
 SPARE = 12
+#: Queries that a task holds against a cell.
+VISITS = 20_000
+#: Cells that a query visits in the second round; each further round visits STEP times as many.
+STEP = 4
+#: Rows (of a cell and a number) that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def chi2_quantile(p: float, dims: int) -> float:
@@ -58,42 +71,83 @@ def _projection(dim: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim + 1, DIMS))
 
 
-class Planes:
-    """The kd-tree over a sample: inner node i splits on axis[i] at cut[i]; leaves are cells."""
-
-    def __init__(self, sample: np.ndarray, depth: int) -> None:
-        self.depth = depth
-        self.axis, self.cut = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
-        held: list[np.ndarray] = [sample]
-        for node in range(len(self.axis)):
-            points = held[node]
-            if len(points):
-                self.axis[node] = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
-                self.cut[node] = float(np.median(points[:, self.axis[node]]))
-            left = points[:, self.axis[node]] <= self.cut[node] if len(points) else np.zeros(0, bool)
-            held += [points[left], points[~left]]
-        n = 1 << depth
-        self.low, self.high = np.full((n, DIMS), -np.inf), np.full((n, DIMS), np.inf)
-        for cell in range(n):
-            node = 0
-            for level in range(depth - 1, -1, -1):
-                right = cell >> level & 1
-                edge = self.low if right else self.high
-                a = self.axis[node]
-                edge[cell, a] = max(edge[cell, a], self.cut[node]) if right else min(edge[cell, a], self.cut[node])
-                node = 2 * node + 1 + right
+class Tree:
+    """A kd-tree whose leaves are cells: inner node i splits axis[i] at cut[i]; children are nodes, or -1 - cell."""
+
+    def __init__(self) -> None:
+        self.axis, self.cut = np.zeros(0, np.int64), np.zeros(0)
+        self.child = np.zeros((0, 2), np.int64)
+        self.root, self.cells = -1, 1
+
+    def graft(self, cell: int, axis: np.ndarray, cut: np.ndarray, child: np.ndarray) -> None:
+        """Puts a subtree (its first node is its root, its cells are counted from 0) in the place of a cell."""
+        if not len(axis):
+            return
+        at, fresh = len(self.axis), self.cells - 1
+        # The subtree's cell 0 keeps the number, the others get new ones.
+        leaf = np.where(child == -1, -1 - cell, child - fresh)
+        place = np.where(child >= 0, child + at, leaf)
+        self.child[self.child == -1 - cell] = at
+        if self.root == -1 - cell:
+            self.root = at
+        self.axis, self.cut = np.concatenate([self.axis, axis]), np.concatenate([self.cut, cut])
+        self.child = np.concatenate([self.child, place])
+        self.cells += len(axis)
 
     def cell(self, points: np.ndarray) -> np.ndarray:
-        node, cell = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
-        for _ in range(self.depth):
-            right = (points[np.arange(len(points)), self.axis[node]] > self.cut[node]).astype(np.int64)
-            node, cell = 2 * node + 1 + right, 2 * cell + right
-        return cell
-
-    def reach(self, point: np.ndarray, radius2: float) -> np.ndarray:
-        """Cells that a ball touches."""
-        gap = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
-        return np.flatnonzero((gap * gap).sum(axis=1) <= radius2)
+        node = np.full(len(points), self.root, np.int64)
+        while len(at := np.flatnonzero(node >= 0)):
+            inner = node[at]
+            right = points[at, self.axis[inner]] > self.cut[inner]
+            node[at] = self.child[inner, right.astype(np.int64)]
+        return -1 - node
+
+    def reach(self, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, cell, squared distance) of all cells that the points' balls touch."""
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        todo = [(self.root, np.arange(len(points)), np.zeros((len(points), DIMS)), np.zeros(len(points)))]
+        while todo:
+            node, rows, offset, gap = todo.pop()
+            if node < 0:
+                out.append((rows, np.full(len(rows), -1 - node), gap))
+                continue
+            a, side = self.axis[node], points[rows, self.axis[node]] - self.cut[node]
+            for right in (0, 1):
+                away = (side > 0) != bool(right)  # on the other side of the plane
+                further = np.where(away, np.maximum(np.abs(side), offset[:, a]), offset[:, a])
+                total = gap - offset[:, a] ** 2 + further**2
+                near = total <= radius2[rows]
+                if near.any():
+                    moved = offset[near]
+                    moved[:, a] = further[near]
+                    todo.append((int(self.child[node, right]), rows[near], moved, total[near]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def planes(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """axis, cut and children of a tree over a sample, of about `cells` cells; none where nothing can be split."""
+    axis, cut, child, leaves = [], [], [], 0
+    todo = [(sample, cells, None)]
+    while todo:
+        points, wanted, parent = todo.pop()
+        width = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(DIMS)
+        if wanted > 1 and len(points) >= 8 and width.max() > 0:
+            a = int(np.argmax(width))
+            at = float(np.median(points[:, a]))
+            if at >= points[:, a].max():  # more than half are largest: they go right
+                at = float(points[points[:, a] < at, a].max())
+            here = len(axis)
+            axis.append(a)
+            cut.append(at)
+            child.append([0, 0])
+            left = points[:, a] <= at
+            share = max(1, min(wanted - 1, round(wanted * left.mean())))
+            todo += [(points[~left], wanted - share, (here, 1)), (points[left], share, (here, 0))]
+        else:
+            here, leaves = -1 - leaves, leaves + 1
+        if parent is not None:
+            child[parent[0]][parent[1]] = here
+    return np.array(axis, np.int64), np.array(cut, np.float64), np.array(child, np.int64).reshape(-1, 2)
 
 
 def _leaves(points: np.ndarray) -> list[np.ndarray]:
@@ -163,7 +217,57 @@ def _usable(embedding: Column, dim: int) -> Column:
     return embedding.isNotNull() & (F.size(embedding) == dim) & whole & F.exists(embedding, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _as_list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _located(df: DataFrame, tree: Tree) -> DataFrame:
+    """df with the cell of each row's projection."""
+    shipped = df.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = shipped.value.cell(_matrix(batch.column("projected"), DIMS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return df.mapInArrow(B.task(run), ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "cell int"]))
+
+
+def grown(points: DataFrame, n: int, cell: int, sample: int) -> Tree:
+    """A tree over all n points (a written table with their projections), no cell of which has over twice `cell` of them."""
+    tree, over, stuck = Tree(), {0: n}, set()
+
+    def split(table: pa.Table) -> pa.Table:
+        wanted = math.ceil(table["n"][0].as_py() / cell)
+        x = _matrix(table["projected"], DIMS)
+        axis, cut, child = planes(x, min(wanted, max(len(x) // 8, 2)))
+        return pa.table({"cell": table["cell"][:1].cast(pa.int32()), "axis": [axis.tolist()], "cut": [cut.tolist()], "child": [child.ravel().tolist()]}).cast(pa.schema([("cell", pa.int32()), ("axis", pa.list_(pa.int64())), ("cut", pa.list_(pa.float64())), ("child", pa.list_(pa.int64()))]))
+
+    over = {c: k for c, k in over.items() if k > 2 * cell}
+    while over:
+        full = storage.kept(points.sparkSession.createDataFrame(list(over.items()), "cell int, n long"), "ann-full")
+        rows = _located(points.select("projected"), tree).join(_near(full), "cell")
+        some = rows.where(F.pmod(F.xxhash64("projected"), F.floor(F.col("n") / sample) + 1) == 0)
+        before = tree.cells
+        for r in some.groupBy("cell").applyInArrow(split, "cell int, axis array<long>, cut array<double>, child array<long>").toLocalIterator():
+            if r["axis"]:
+                tree.graft(r["cell"], np.array(r["axis"], np.int64), np.array(r["cut"]), np.array(r["child"], np.int64).reshape(-1, 2))
+        if tree.cells == before:
+            break
+        counts = _located(points.select("projected"), tree).groupBy("cell").count().toLocalIterator()
+        now = {r["cell"]: r["count"] for r in counts if r["count"] > 2 * cell}
+        # Of points that are projected to one place, none can be split off.
+        stuck |= {c for c, k in now.items() if over.get(c) == k}
+        over = {c: k for c, k in now.items() if c not in stuck}
+    return tree
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding", cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of every query (a row for which is_query holds)."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -182,77 +286,85 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     sizes = points.agg(F.count("*").alias("n"), F.max(norm2).alias("largest")).head()
     if not sizes["n"]:
         return spark.createDataFrame([], schema)
-    largest = float(sizes["largest"])
-
-    matrix = _projection(dim)
+    largest, matrix = float(sizes["largest"]), _projection(dim)
 
-    def projected(x: np.ndarray, query: bool) -> np.ndarray:
-        x = x.astype(np.float64)
-        lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))
-        return x @ matrix[:-1] + lift[:, None] * matrix[-1]
-
-    def as_list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
-
-    # Planes from a bounded sample, in the order of a hash.
-    seen = points.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).toArrow()
-    sample = projected(_matrix(seen["embedding"], dim), query=False)
-    depth = max(0, min(math.ceil(math.log2(max(sizes["n"] / CELL, 1))), int(math.log2(max(len(sample) / 8, 1)))))
-    planes = Planes(sample, depth)
-
-    def place(query: bool):  # noqa: ANN202
-        def run(batches):  # noqa: ANN001, ANN202
+    def project(query: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _matrix(batch.column("embedding"), dim)
-                p = projected(x, query)
-                yield pa.RecordBatch.from_arrays([*batch.columns, as_list(p, pa.float64()), pa.array(planes.cell(p).astype(np.int32))], names=[*batch.schema.names, "projected", "cell"])
+                x = _matrix(batch.column("embedding"), dim).astype(np.float64)
+                lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))
+                yield pa.RecordBatch.from_arrays([*batch.columns, _as_list(x @ matrix[:-1] + lift[:, None] * matrix[-1], pa.float64())], names=[*batch.schema.names, "projected"])
 
-        return run
+        return B.task(run)
 
-    index = points.mapInArrow(place(False), "embedding array<float>, ids array<long>, projected array<double>, cell int")
-    asked = rows.where("is_query").select("vec_id", "embedding")
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("asker"))
-    queries = storage.kept(distinct.mapInArrow(place(True), "embedding array<float>, asker long, projected array<double>, cell int").withColumn("bound", F.lit(float("inf"))), "ann-queries")
+    placed = storage.kept(points.mapInArrow(project(False), "embedding array<float>, ids array<long>, projected array<double>"), "ann-projected")
+    tree = grown(placed, sizes["n"], cell, sample)
+    index = storage.kept(_located(placed, tree), "ann-index")
+    shipped = spark.sparkContext.broadcast(tree)
 
-    found = "asker long, ids array<long>, first_id long, score double"
+    # Queries: distinct vectors, numbered as they are written.
+    asked = rows.where("is_query").select("vec_id", "embedding")
+    distinct = storage.kept(asked.select("embedding").distinct().withColumn("asker", F.monotonically_increasing_id()), "ann-askers")
+    queries = storage.kept(distinct.mapInArrow(project(True), "embedding array<float>, asker long, projected array<double>"), "ann-queries")
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: queries of a cell; right: its points."""
-        empty = pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "first_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        """left: queries that visit a cell; right: its points."""
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "first_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, x = _matrix(left["embedding"], dim), _matrix(right["embedding"], dim)
         ids = right["ids"].combine_chunks()
-        first = np.array([r[0] for r in ids.to_pylist()], np.int64)
+        first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
         got = search_cell(q, _matrix(left["projected"], DIMS), left["bound"].to_numpy(), x, _matrix(right["projected"], DIMS), first, k + 1, largest)
         picked = np.concatenate(got)
         of = np.repeat(np.arange(len(got)), [len(g) for g in got])
         score = (x[picked].astype(np.float64) * q[of].astype(np.float64)).sum(axis=1)
         return pa.table({"asker": pa.array(left["asker"].to_numpy()[of]), "ids": ids.take(pa.array(picked)), "first_id": pa.array(first[picked]), "score": pa.array(score)})
 
-    def searched(some: DataFrame) -> DataFrame:
-        return some.groupBy("cell").cogroup(index.groupBy("cell")).applyInArrow(visit, found)
+    def searched(visits: DataFrame) -> DataFrame:
+        tasks = storage.kept(visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("n")), "ann-tasks")
+        left = visits.join(_near(tasks), "cell").withColumn("part", F.pmod(F.xxhash64("asker"), "n").cast("int")).drop("n")
+        right = index.join(_near(tasks), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(visit, "asker long, ids array<long>, first_id long, score double")
 
-    home = storage.kept(searched(queries), "ann-home")
-    quantile = chi2_quantile(CERTAINTY, DIMS)
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "first_id")
-    kth = home.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k + 1).select("asker", F.col("score").alias("kth"))
-    bounded = queries.drop("bound").join(kth, "asker", "left").withColumn("bound", F.coalesce(norm2 + F.lit(largest) - 2 * F.col("kth"), F.lit(float("inf"))))
+    quantile = chi2_quantile(CERTAINTY, DIMS)
 
-    def spread(batches):  # noqa: ANN001, ANN202
-        """A row for each further cell within reach."""
-        for batch in batches:
-            p, bound, own = _matrix(batch.column("projected"), DIMS), batch.column("bound").to_numpy(), batch.column("cell").to_numpy()
-            cells = [c[c != h] for c, h in zip((planes.reach(x, b * quantile) for x, b in zip(p, bound, strict=True)), own, strict=True)]
-            again = batch.take(pa.array(np.repeat(np.arange(len(cells)), [len(c) for c in cells])))
-            yield pa.RecordBatch.from_arrays([*(again.column(n) for n in ("asker", "embedding", "projected", "bound")), pa.array(np.concatenate([*cells, []]).astype(np.int32))], names=["asker", "embedding", "projected", "bound", "cell"])
+    def due(done: int, step: int):  # noqa: ANN202
+        """The visits of a round: the cells number done, ..., done + step - 1 by distance, if the test hasn't stopped before."""
 
-    away = bounded.select("asker", "embedding", "projected", "bound", "cell").mapInArrow(spread, "asker long, embedding array<float>, projected array<double>, bound double, cell int")
-    everywhere = home.unionByName(searched(away)) if depth else home
-    lists = everywhere.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("asker", "ids", "score")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, bound = _matrix(batch.column("projected"), DIMS), batch.column("bound").to_numpy()
+                if done:
+                    row, cells, gap = shipped.value.reach(p, bound * quantile)
+                    home = shipped.value.cell(p)
+                    order = np.lexsort((cells, gap, cells != home[row], row))
+                    row, cells = row[order], cells[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    now = (rank >= done) & (rank < done + step)
+                    row, cells = row[now], cells[now]
+                else:
+                    row, cells = np.arange(len(p)), shipped.value.cell(p)
+                again = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cells.astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+        return B.task(run)
+
+    columns = "asker long, embedding array<float>, projected array<double>, bound double, cell int"
+    lists, bounded, done, step = None, queries.withColumn("bound", F.lit(float("inf"))), 0, 1
+    while done < tree.cells:
+        visits = storage.kept(bounded.select("asker", "embedding", "projected", "bound").mapInArrow(due(done, step), columns), "ann-visits")
+        if done and visits.isEmpty():
+            break
+        found = searched(visits)
+        merged = found if lists is None else lists.unionByName(found)
+        lists = storage.kept(merged.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n"), "ann-lists")
+        kth = lists.groupBy("asker").agg(F.count("*").alias("_n"), F.min("score").alias("kth")).where(F.col("_n") > k).drop("_n")
+        bounded = queries.join(kth, "asker", "left").withColumn("bound", F.coalesce(norm2 + F.lit(largest) - 2 * F.col("kth"), F.lit(float("inf"))))
+        done, step = done + step, step * STEP
 
     # Back to all queries of equal vectors, and from points to rows.
-    who = asked.join(distinct, "embedding").select(F.col("vec_id").alias("query_id"), "asker")
+    who = asked.distinct().join(distinct, "embedding").select(F.col("vec_id").alias("query_id"), "asker")
     pairs = who.join(lists, "asker").select("query_id", "score", F.explode(F.slice(F.array_remove("ids", F.col("query_id")), 1, k)).alias("vec_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
