@@ -132,7 +132,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled documents that are not held out, at most `sample` of them."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = training_rows(docs.select("doc_id", "text").where("text is not null").join(known, "doc_id"), ["toxic"], sample, sample_bytes)
+    rows = training_rows(docs.where("text is not null"), ["toxic"], sample, sample_bytes, known)
 
     def learn(table: pa.Table) -> tuple[bytes, float]:
         model = train(table["text"].combine_chunks(), table["toxic"].to_numpy())

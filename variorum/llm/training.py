@@ -16,17 +16,20 @@ from variorum.llm import bytesops as B
 from variorum.llm import storage
 
 
-def training_rows(rows: DataFrame, columns: list[str], most: int, most_bytes: int) -> DataFrame:
-    """doc_id, text and columns of at most `most` distinct rows with texts of at most `most_bytes` in all.
+def training_rows(rows: DataFrame, columns: list[str], most: int, most_bytes: int, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, text and columns (of rows, or of labels by doc_id) of at most `most` distinct rows with texts of at most `most_bytes` in all.
 
     They come in the order of a hash of doc_id, whole; a row that would go beyond the bytes, and those after it, are left out.
+    Texts don't move before the rows are chosen.
     """
-    keyed = rows.select("doc_id", "text", *columns).withColumn("_text", F.xxhash64("text"))
-    ids = keyed.select("doc_id", "_text", *columns, F.octet_length("text").cast("long").alias("_size")).distinct()
-    first = ids.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "_text", *columns).limit(most)
-    upto = Window.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "_text", *columns).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = storage.kept(first.withColumn("_sum", F.sum("_size").over(upto)).where(F.col("_sum") <= most_bytes).select("doc_id", "_text", *columns), "training-ids")
-    return keyed.join(F.broadcast(chosen), ["doc_id", "_text", *columns], "left_semi").select("doc_id", "text", *columns)
+    own = [] if labels is not None else columns
+    keyed = rows.select("doc_id", "text", *own).withColumn("_text", F.xxhash64("text"))
+    ids = keyed.select("doc_id", "_text", *own, F.octet_length("text").cast("long").alias("_size"))
+    ids = (ids if labels is None else ids.join(labels.select("doc_id", *columns), "doc_id")).distinct()
+    order = [F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "_text", *columns]
+    upto = F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = ids.orderBy(*order).limit(most).withColumn("_sum", upto).where(F.col("_sum") <= most_bytes).select("doc_id", "_text", *columns)
+    return keyed.join(F.broadcast(storage.kept(chosen, "training-ids")), ["doc_id", "_text", *own]).select("doc_id", "text", *columns)
 
 
 def _distinct(table: pa.Table) -> pa.Table:
