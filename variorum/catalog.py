@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from variorum import oracles as O
 from variorum import pairs as P
 from variorum.functions import similarity, special, worddiff
 from variorum.functions import text as T
@@ -215,26 +216,27 @@ def _copy_items(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.where("side = 'src'").drop("side"), items.where("side = 'out'").drop("side")
 
 
-@_query(rf"""
-WITH n AS (SELECT doc_id, text AS out, lag(text) OVER (PARTITION BY substr(text, 1, 60) ORDER BY doc_id) AS src FROM documents WHERE length(text) >= 100),
-s AS (SELECT doc_id, side, list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS ls FROM (SELECT doc_id, 'src' AS side, src AS text FROM n WHERE src IS NOT NULL UNION ALL SELECT doc_id, 'out', out FROM n WHERE src IS NOT NULL)),
-l AS (SELECT doc_id, side, u.i AS idx, {_NORMAL.format('u.line')} AS key FROM (SELECT doc_id, side, unnest(list_transform(range(len(ls)), lambda i: {{'i': i, 'line': ls[i + 1]}})) AS u FROM s)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side, key ORDER BY idx) AS k FROM l)
-SELECT a.doc_id AS pair_id, CAST(a.idx AS INTEGER) AS src_idx, CAST(b.idx AS INTEGER) AS out_idx FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.key = b.key AND a.k = b.k AND a.side = 'src' AND b.side = 'out'
-""")
+_EDITED_ITEMS = [*O.edited(), *(f"{side}_items AS MATERIALIZED (SELECT pair_id, idx, key, key AS text FROM (SELECT pair_id, idx, {_NORMAL.format('line')} AS key FROM edited WHERE side = '{side}'))" for side in ("src", "out"))]
+
+
+def _with(parts: list[str], last: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + last
+
+
+@_query(_with([*_EDITED_ITEMS, *O.candidates("x", "src_items", "out_items", ["pair_id"])], "SELECT pair_id, CAST(src_idx AS INTEGER) AS src_idx, CAST(out_idx AS INTEGER) AS out_idx FROM x_eq"))
 def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal lines of documents that begin alike (the pairs that the SQL names), first come first served."""
-    return A.match_equal(*_copy_items(P.near_copies(spark, sf_dir)), ["pair_id"])
+    """Equal lines of every document and its edited copy, first come first served."""
+    return A.match_equal(*_copy_items(P.edited_copies(spark, sf_dir)), ["pair_id"])
 
 
-@_query()
+@_query(_with([*_EDITED_ITEMS, *O.align("x", "src_items", "out_items", ["pair_id"], O.PARAGRAPH, True)], "SELECT pair_id, type, CAST(src_idx AS INTEGER) AS src_idx, CAST(out_idx AS INTEGER) AS out_idx, round(score, 6) AS score, CAST(op_pos AS INTEGER) AS op_pos FROM x"))
 def align_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All operations that align the lines of every document and its edited copy, with fallback by position."""
     ops = A.align(*_copy_items(P.edited_copies(spark, sf_dir)), ["pair_id"], C.PARAGRAPH, positional_fallback=True)
     return ops.withColumn("score", F.round("score", 6))
 
 
-@_query()
+@_query(_with([*_EDITED_ITEMS, *O.candidates("x", "src_items", "out_items", ["pair_id"], 400)], "SELECT pair_id, CAST(src_idx AS INTEGER) AS src_idx, CAST(out_idx AS INTEGER) AS out_idx FROM x_c"))
 def align_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs of lines of edited copies where only scopes of up to 400 pairs are scanned in full."""
     src, out = _copy_items(P.edited_copies(spark, sf_dir))
@@ -247,13 +249,26 @@ def _compared(spark: SparkSession, sf_dir: str) -> C.Comparison:
     return C.compare_documents(P.line_blocks(P.edited_copies(spark, sf_dir)))
 
 
-@_query()
+_CHANGES = ", ".join(f"array_to_string({_sql_minus(_sql_matches(k, x), _sql_matches(k, y))}, ', ') AS {k.lower()}_{name}" for k in special.KINDS for name, x, y in (("removed", "src", "out"), ("added", "out", "src")))
+_COMMENT = "concat_ws(' | ', " + ", ".join(f"nullif('{special.LABELS[k]} {name}: ' || nullif(array_to_string({_sql_minus(_sql_matches(k, x), _sql_matches(k, y))}, ', '), ''), '')" for k in special.KINDS for name, x, y in (("removed", "src", "out"), ("added", "out", "src"))) + ")"
+_NO_CELLS = "NULL::INTEGER AS page, NULL::INTEGER AS slide, {0} AS block_idx, 'paragraph' AS type, {1} AS text, NULL::VARCHAR[] AS cells, NULL::VARCHAR AS table_id"
+_COPY_BLOCKS = [*O.edited(), f"blocks AS MATERIALIZED (SELECT pair_id, side, 0 AS sec_idx, 'Document' AS title, {_NO_CELLS.format('idx', 'line')} FROM edited)"]
+
+
+def _compare_sql(blocks: list[str], last: str) -> str:
+    return _with([*blocks, *O.compared("blocks", _NORMAL, _SENTENCES, _COMMENT)], last)
+
+
+_DETAILS = "SELECT pair_id, CAST(block_id AS INTEGER) AS block_id, section, page, slide, CAST(paragraph_number AS INTEGER) AS paragraph_number, CAST(sentence_number AS INTEGER) AS sentence_number, status, source_text, output_text, comments FROM details"
+
+
+@_query(_compare_sql(_COPY_BLOCKS, _DETAILS))
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the comparison of edited copies."""
     return _compared(spark, sf_dir).detail_rows.drop("special")
 
 
-@_query()
+@_query(_compare_sql(_COPY_BLOCKS, O.stats("blocks")))
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the comparison of edited copies."""
     return _compared(spark, sf_dir).stats
@@ -277,14 +292,23 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redlined(R.preview(R.all_rows(result.detail_rows, result.table_rows)))
 
 
-@_query()
+_TURN_BLOCKS = [
+    r"""turns AS MATERIALIZED (SELECT conv_id, turn, concat_ws(' ', role, CAST(turn AS VARCHAR)) AS title, list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS ls FROM conversations WHERE text IS NOT NULL)""",
+    "turn_lines AS MATERIALIZED (SELECT conv_id, turn, title, u.i AS i, u.line AS line FROM (SELECT *, unnest(list_transform(range(len(ls)), lambda i: {'i': i, 'line': ls[i + 1]})) AS u FROM turns))",
+    f"both_sides AS MATERIALIZED (SELECT conv_id AS pair_id, 'src' AS side, turn AS sec_idx, title, {_NO_CELLS.format('i', 'line')} FROM turn_lines UNION ALL SELECT conv_id - 1, 'out', turn, title, {_NO_CELLS.format('i', 'line')} FROM turn_lines)",
+    "blocks AS MATERIALIZED (SELECT * FROM both_sides WHERE pair_id IN (SELECT pair_id FROM both_sides GROUP BY pair_id HAVING count(DISTINCT side) = 2))",
+]
+_SECTION_ROWS = "SELECT pair_id, block_id, section, page, slide, status FROM details UNION ALL SELECT pair_id, block_id, section, page, slide, status FROM rows_t"
+
+
+@_query(_compare_sql(_TURN_BLOCKS, f"SELECT pair_id, section, CAST(min(block_id) AS INTEGER) AS first_block, arg_min(page, block_id) AS page, arg_min(slide, block_id) AS slide, {', '.join(f'count(*) FILTER (status = {st!r}) AS {st}' for st in R.STATUSES)}, section AS label FROM ({_SECTION_ROWS}) GROUP BY pair_id, section"))
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status and section over conversations: each with the next one, turns being sections."""
     result = _conversations(spark, sf_dir)
     return R.section_counts(R.all_rows(result.detail_rows, result.table_rows))
 
 
-@_query()
+@_query(_compare_sql(_TURN_BLOCKS, "SELECT pair_id, type, CAST(src_idx AS INTEGER) AS src_idx, CAST(out_idx AS INTEGER) AS out_idx, round(score, 6) AS score, CAST(sec_op AS INTEGER) AS sec_op FROM sec"))
 def section_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the turns of each conversation are aligned with the next one's."""
     return _conversations(spark, sf_dir).section_ops.select("pair_id", "type", "src_idx", "out_idx", F.round("score", 6).alias("score"), "sec_op")
@@ -299,9 +323,6 @@ def _conversations(spark: SparkSession, sf_dir: str) -> C.Comparison:
     return C.compare_documents(blocks)
 
 
-_CHANGES = ", ".join(f"array_to_string({_sql_minus(_sql_matches(k, x), _sql_matches(k, y))}, ', ') AS {k.lower()}_{name}" for k in special.KINDS for name, x, y in (("removed", "src", "out"), ("added", "out", "src")))
-
-
 @_query(f"WITH {_ORDERS} SELECT o_orderkey, {_CHANGES} FROM s")
 def special_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changes between both sentences of every order, by kind."""
@@ -363,18 +384,26 @@ def table_local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.local_table_ids(rows).select("sec_op", "para_pos", "table_rank")
 
 
-@_query()
+_TABLE_BLOCKS = [
+    "customers AS MATERIALIZED (SELECT c_custkey, c_mktsegment, c_name, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) AS balance FROM customer)",
+    "table_sides AS (SELECT c_mktsegment, 'src' AS side, c_custkey AS block_idx, [c_name, balance] AS cells FROM customers UNION ALL SELECT c_mktsegment, 'out', -c_custkey, [c_name, CASE WHEN c_custkey % 7 = 0 THEN '1,234.00' ELSE balance END] FROM customers)",
+    "segments AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS pair_id FROM (SELECT DISTINCT c_mktsegment FROM customer))",
+    "blocks AS MATERIALIZED (SELECT pair_id, side, 0 AS sec_idx, 'Customers' AS title, NULL::INTEGER AS page, NULL::INTEGER AS slide, block_idx, 'tableRow' AS type, array_to_string(cells, ' | ') AS text, cells, 't' AS table_id FROM table_sides JOIN segments USING (c_mktsegment))",
+]
+
+
+@_query(_compare_sql(_TABLE_BLOCKS, "SELECT pair_id, CAST(block_id AS INTEGER) AS block_id, section, page, slide, table_id, status, source_text, output_text, cell_diffs, comments FROM rows_t"))
 def table_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table rows of a pair per market segment: its customers as a table, and again with every seventh balance changed, shuffled."""
+    """Table rows of a pair per market segment: its customers as a table, and again with every seventh balance changed, in reverse."""
     c = P.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
+    pair = c.select("c_mktsegment").distinct().withColumn("pair_id", F.row_number().over(Window.orderBy("c_mktsegment")).cast("long"))
     changed = F.when(F.col("c_custkey") % 7 == 0, F.lit("1,234.00")).otherwise(F.col("balance"))
 
     def side(name: str, balance: Column, order: Column) -> DataFrame:
         cells = F.array("c_name", balance)
-        # 100 customers to a table bound its pairs.
-        return c.select(F.xxhash64("c_mktsegment", F.floor(F.col("c_custkey") / 100)).alias("pair_id"), F.lit(name).alias("side"), F.lit(0).alias("sec_idx"), F.lit("Customers").alias("title"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), order.cast("int").alias("block_idx"), F.lit("tableRow").alias("type"), F.array_join(cells, " | ").alias("text"), cells.alias("cells"), F.lit("t").alias("table_id"), order.cast("int").alias("row_index"))
+        return c.join(F.broadcast(pair), "c_mktsegment").select("pair_id", F.lit(name).alias("side"), F.lit(0).alias("sec_idx"), F.lit("Customers").alias("title"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), order.cast("int").alias("block_idx"), F.lit("tableRow").alias("type"), F.array_join(cells, " | ").alias("text"), cells.alias("cells"), F.lit("t").alias("table_id"), order.cast("int").alias("row_index"))
 
-    blocks = side("src", F.col("balance"), F.col("c_custkey")).unionByName(side("out", changed, -F.col("c_custkey")))
+    blocks = kept(side("src", F.col("balance"), F.col("c_custkey")).unionByName(side("out", changed, -F.col("c_custkey"))), "customer-blocks")
     return C.compare_documents(blocks).table_rows.withColumn("cell_diffs", F.to_json("cell_diffs"))
 
 
@@ -398,13 +427,13 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(R.column_width(longest, "c_name").cast("int").alias("width"))
 
 
-@_query()
+@_query(_with([_ORDERS.strip(), "p AS MATERIALIZED (SELECT o_orderkey AS id, src AS a, out AS b FROM s)", *O.redline("r", "p")], "SELECT id AS o_orderkey, html AS redline FROM r"))
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redlines of both sentences of every order."""
     return P.order_sentences(spark, sf_dir).select("o_orderkey", worddiff.render(worddiff.diff_words_merged(F.col("src"), F.col("out"))).alias("redline"))
 
 
-@_query()
+@_query(f"WITH p AS (SELECT i.item_id, concat_ws(' ', i.text, 'end') AS a, concat_ws(' ', i.text, n.text, 'end') AS b FROM benchmark i JOIN benchmark n ON n.item_id = i.item_id + 1) SELECT item_id, source, output, trimmed FROM ({O.trimmed('a', 'b', 'p')})")
 def trim_around_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item and the next one's text after it, cut around where they part."""
     items = P.table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -420,6 +449,9 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_source.blocks(pages).select("pair_id", "sec_idx", "title", "block_idx", "type", "text")
 
 
+_BULLET = r"^\s*([•▪◦‣∙·–—\-*]|\d+[.)])\s+"
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as text items on pages: an order is a line, its items stand in it by number, 40 orders are a page."""
     li = P.table(spark, sf_dir, "lineitem")
@@ -439,7 +471,20 @@ def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.lines(_items(spark, sf_dir)).select("page", "line_y", "text", "is_table")
 
 
-@_query()
+@_query(rf"""
+WITH i AS ({_ITEMS}), g AS (SELECT *, CAST(floor(y + 0.5) AS BIGINT) AS line_y, x - lag(x + width) OVER w AS gap, row_number() OVER w AS n FROM i WINDOW w AS (PARTITION BY page, CAST(floor(y + 0.5) AS BIGINT) ORDER BY x, str)),
+c AS (SELECT *, coalesce(sum(CASE WHEN gap > 18 THEN 1 ELSE 0 END) OVER (PARTITION BY page, line_y ORDER BY n), 0) AS cell FROM g),
+k AS (SELECT page, line_y, cell, string_agg(CASE WHEN gap > 1 THEN ' ' ELSE '' END || str, '' ORDER BY n) AS t FROM c GROUP BY page, line_y, cell),
+cells AS (SELECT page, line_y, string_agg(regexp_replace(t, '^\s+|\s+$', '', 'g'), ' | ' ORDER BY cell) AS row_text FROM k GROUP BY page, line_y),
+l AS (SELECT page, line_y, string_agg(CASE WHEN gap > 1 THEN ' ' ELSE '' END || str, '' ORDER BY n) AS text, count(*) >= 3 AND count(*) FILTER (gap > 18) >= 2 AS is_table FROM g GROUP BY page, line_y),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_y DESC) - 1 AS line_no, sum(CASE WHEN is_table THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line_y DESC) AS tables FROM l JOIN cells USING (page, line_y)),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_no) AS row_index FROM o WHERE is_table),
+f AS (SELECT *, CASE WHEN lag(line_y) OVER w IS NULL OR lag(line_y) OVER w - line_y > 22 OR regexp_matches(text, '{_BULLET}') OR lag(tables) OVER w <> tables THEN 1 ELSE 0 END AS new FROM o WHERE NOT is_table AND text <> '' WINDOW w AS (PARTITION BY page ORDER BY line_no)),
+h AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY line_no) AS para FROM f),
+q AS (SELECT page, min(line_no) AS block_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM h GROUP BY page, para)
+SELECT 1 AS doc_id, page, CAST(line_no AS INTEGER) AS block_no, 'tableRow' AS type, row_text AS text, 'page' || page || '_table_' || CAST(ceil(row_index / 4.0) AS BIGINT) AS table_id, CAST(row_index AS INTEGER) AS row_index FROM r
+UNION ALL SELECT 1, page, CAST(block_no AS INTEGER), CASE WHEN regexp_matches(text, '{_BULLET}') THEN 'list' ELSE 'paragraph' END, text, NULL, NULL FROM q
+""")
 def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows and paragraphs of positioned text items."""
     return pdf.blocks(kept(pdf.lines(_items(spark, sf_dir)), "pdf-lines")).drop("cells")

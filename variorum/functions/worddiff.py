@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,19 +15,33 @@ TOKEN = "array<struct<type:string,text:string>>"
 
 
 def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """The merged redline: where removing and adding are equally good from the end, removing is taken first there."""
-    number = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    x, y = np.array([number[w] for w in a], np.int64), np.array([number[w] for w in b], np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(1, len(a) + 1):
-        # A row of the table: the running maximum of diagonal steps and the row above.
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, :-1] + (y == x[i - 1]), table[i - 1, 1:]))
+    """The merged redline: where removing and adding are equally good from the end, removing is taken first there.
+
+    Column j of the table of common subsequences is kept as a bit row: bit i is 0 where the entry of a[:i + 1] is one more than
+    that of a[:i]. So n times m bits are held, and an entry is a count of zeros.
+    """
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    columns = [full]
+    for w in b:
+        v = columns[-1]
+        u = v & where.get(w, 0)
+        columns.append(((v + u) | (v - u)) & full)
     out, i, j = [], len(a), len(b)
     while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
+        if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("equal", a[i]))
-        elif i and (not j or table[i - 1, j] >= table[i, j - 1]):
+            continue
+        remove = bool(i) and not j
+        if i and j:
+            low = (1 << i) - 1
+            up = i - 1 - (columns[j] & (low >> 1)).bit_count()  # the entry at (i - 1, j)
+            left = i - (columns[j - 1] & low).bit_count()  # the entry at (i, j - 1)
+            remove = up >= left
+        if remove:
             i -= 1
             out.append(("removed", a[i]))
         else:
@@ -58,6 +71,18 @@ def render(merged: Column) -> Column:
     return F.array_join(F.transform(merged, lambda t: F.when(t["type"] == "removed", tag(t, "del")).when(t["type"] == "added", tag(t, "ins")).otherwise(T.escape_html(t["text"]))), " ")
 
 
+def render_row(status: Column, source: Column, output: Column, merged: Column) -> Column:
+    """Marked HTML of a row: what is missing is removed, what is added is new, a change shows its merged redline, else the text."""
+    text = lambda c: T.escape_html(F.coalesce(c, F.lit("")))
+    whole = F.when(F.coalesce(source, F.lit("")) != "", source).otherwise(output)
+    return (
+        F.when(status == "missing", F.concat(F.lit("<del>"), text(source), F.lit("</del>")))
+        .when(status == "added", F.concat(F.lit("<ins>"), text(output), F.lit("</ins>")))
+        .when(status.isin("modified", "reformatted"), render(merged))
+        .otherwise(text(whole))
+    )
+
+
 def trim_around_change(src: Column, out: Column, context: int = CONTEXT, threshold: int = TRIM_FROM) -> Column:
     """struct<source, output, trimmed>: both texts cut to the words around the first and last difference."""
     a, b = T.tokens(src), T.tokens(out)

@@ -11,6 +11,9 @@ from variorum.functions.worddiff import diff_words_merged, trim_around_change
 
 STATUSES = ("match", "modified", "missing", "added", "reformatted")
 PREVIEW_CHANGED, PREVIEW_MATCHED = 200, 50
+# What comments and change lists say.
+TRIMMED, TRIMMED_TOO = "Long sentence trimmed to change context", " (long sentence trimmed to change context)"
+_CHANGE_TYPES = LABELS | {"fiscalYear": "Fiscal Year"}
 _TABLE_COMMENTS = {"missing": "Table row removed", "added": "Table row added", "modified": "Table row modified"}
 _ROW = ["pair_id", "block_id", "section", "page", "slide", "paragraph_number", "sentence_number", "table_id", "status", "source_text", "output_text", "comments"]
 
@@ -30,8 +33,8 @@ def by_status(rows: DataFrame, status: str) -> DataFrame:
 
 def special_changes(details: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """A row for each kind of special change of a detail row, in the order of kinds."""
-    entries = F.array(*(F.when(F.col(f"special.{k}").isNotNull(), F.struct(F.lit(i).alias("kind_no"), F.lit(LABELS[k]).alias("kind"), F.col(f"special.{k}.removed").alias("removed"), F.col(f"special.{k}.added").alias("added"))) for i, k in enumerate(kinds)))
-    return details.where("special is not null").select("pair_id", "block_id", "section", F.explode(F.array_compact(entries)).alias("c")).select("pair_id", "block_id", "section", "c.kind_no", "c.kind", "c.removed", "c.added")
+    entries = F.array(*(F.when(F.col(f"special.{k}").isNotNull(), F.struct(F.lit(i).alias("kind_no"), F.lit(_CHANGE_TYPES[k]).alias("kind"), F.col(f"special.{k}.removed").alias("removed"), F.col(f"special.{k}.added").alias("added"))) for i, k in enumerate(kinds)))
+    return details.where("special is not null and status = 'modified'").select("pair_id", "block_id", "section", F.explode(F.array_compact(entries)).alias("c")).select("pair_id", "block_id", "section", "c.kind_no", "c.kind", "c.removed", "c.added")
 
 
 def number_changes(details: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def to_export(rows: DataFrame) -> DataFrame:
     """The exported columns; long changed texts are cut around the change, which the comment then says."""
     cut = trim_around_change(F.col("source_text"), F.col("output_text"))
     long = F.col("status").isin("modified", "reformatted") & F.col("_cut.trimmed")
-    note = T.append_comment(F.col("comments"), F.lit("Trimmed around the change"))
+    note = F.when(F.coalesce("comments", F.lit("")) == "", F.lit(TRIMMED)).otherwise(F.concat("comments", F.lit(TRIMMED_TOO)))
     return rows.withColumn("_cut", cut).select(
         "pair_id", "block_id", F.coalesce("section", F.lit("")).alias("section"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("page", "slide", "paragraph_number", "sentence_number")),
         F.initcap("status").alias("status"),

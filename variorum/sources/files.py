@@ -1,56 +1,61 @@
-"""Files of all kinds, by extension, to a table of blocks; files that can't be parsed keep their error."""
+"""Files of all kinds, by extension, to a table of blocks; files that can't be parsed keep their error.
+
+Text files are parsed by expressions, markup and packages by a parser in the tasks. Of PDF files, the glyph extraction is
+another program's: its table of positioned items (see pdf.lines) is read in the files' place.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators.hierarchy import flatten
-from variorum.schema import RAW_DOCUMENT
-from variorum.sources import html, ooxml
+from variorum.schema import BLOCK_COLUMNS, RAW_DOCUMENT
+from variorum.sources import html, ooxml, pdf
+from variorum.sources import text as X
 
+_SECTIONS = RAW_DOCUMENT.partition("sections ")[2]
 PARSED = f"pair_id long, side string, {RAW_DOCUMENT}, parse_error string"
-
-
-def _text(data: bytes) -> list[dict]:
-    blocks = [re.sub(r"\r?\n", " ", b).strip() for b in re.split(r"\r?\n\s*\r?\n", data.decode("utf-8", "replace"))]
-    return [{"title": "Document", "page": None, "slide": None, "blocks": [ooxml._block("paragraph", b) for b in blocks if b]}]
+#: Classes of errors: the request is wrong, or the file can't be read. They begin parse_error.
+EMPTY, UNSUPPORTED, UNREADABLE = "Empty file", "Unsupported file type", "Could not parse"
 
 
 def _html(data: bytes) -> list[dict]:
     return [{"title": title, "page": None, "slide": None, "blocks": found} for title, found in html.parse(data.decode("utf-8", "replace"))]
 
 
-PARSERS = {"txt": _text, "html": _html, "htm": _html, "docx": ooxml.docx, "pptx": ooxml.pptx}
-
-
-def parse(data: bytes, extension: str) -> list[dict]:
-    if extension not in PARSERS:
-        raise ValueError(f"Unsupported file type: .{extension}")
-    if not data:
-        raise ValueError("Empty file")
-    return PARSERS[extension](data)
+PARSERS = {"html": _html, "htm": _html, "docx": ooxml.docx, "pptx": ooxml.pptx}
+_COLUMNS = ["pair_id", "side", "doc_type", "file_name", "sections", "parse_error"]
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """pair_id, side, file_name and content (binary) to documents with sections, or a parse_error."""
+    """pair_id, side, file_name and content (binary) to documents with sections, or a parse_error of one of the classes above."""
+    known = files.select("pair_id", "side", T.file_extension(F.col("file_name")).alias("doc_type"), "file_name", "content")
+    empty = F.coalesce(F.octet_length("content"), F.lit(0)) == 0
+    supported = F.col("doc_type").isin("txt", *PARSERS)
+    items = "A PDF is read from its table of items"
+    wrong = F.when(empty, EMPTY).when(F.col("doc_type") == "pdf", f"{UNSUPPORTED}: .pdf. {items}").when(~supported, F.concat(F.lit(f"{UNSUPPORTED}: ."), "doc_type"))
+    checked = known.withColumn("parse_error", wrong)
+    nothing = F.array().cast(_SECTIONS)
+    bad = checked.where("parse_error is not null").withColumn("sections", nothing)
+    plain = checked.where("parse_error is null and doc_type = 'txt'").withColumn("sections", X.sections(F.make_valid_utf8(F.col("content").cast("string"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for pair, side, name, extension, data in batch.itertuples(index=False):
+            for pair, side, kind, name, data in batch.itertuples(index=False):
                 try:
-                    rows.append((pair, side, extension, name, parse(bytes(data), extension), None))
+                    rows.append((pair, side, kind, name, PARSERS[kind](bytes(data)), None))
                 except Exception as e:  # noqa: BLE001  whatever a broken file provokes is its result
-                    rows.append((pair, side, extension, name, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["pair_id", "side", "doc_type", "file_name", "sections", "parse_error"])
+                    rows.append((pair, side, kind, name, [], f"{UNREADABLE} {name}: {type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return files.select("pair_id", "side", "file_name", T.file_extension(F.col("file_name")).alias("extension"), "content").mapInPandas(run, PARSED)
+    rest = checked.where(F.col("parse_error").isNull() & F.col("doc_type").isin(*PARSERS)).drop("parse_error").mapInPandas(run, PARSED)
+    return bad.select(_COLUMNS).unionByName(plain.select(_COLUMNS)).unionByName(rest)
 
 
 def read_pairs(spark: SparkSession, source: str, output: str) -> DataFrame:
@@ -59,10 +64,24 @@ def read_pairs(spark: SparkSession, source: str, output: str) -> DataFrame:
     def side(path: str, name: str) -> DataFrame:
         found = spark.read.format("binaryFile").load(path)
         file_name = F.regexp_extract("path", r"([^/]+)$", 1)
-        return found.select(F.xxhash64(F.regexp_replace(file_name, r"\.[^.]*$", "")).alias("pair_id"), F.lit(name).alias("side"), file_name.alias("file_name"), "content")
+        return found.select(pair_of(file_name).alias("pair_id"), F.lit(name).alias("side"), file_name.alias("file_name"), "content")
 
     return parse_documents(side(source, "src").unionByName(side(output, "out")))
 
 
+def pair_of(file_name: Column) -> Column:
+    """The pair that a file belongs to: a hash of its name without extension."""
+    return F.xxhash64(F.regexp_replace(file_name, r"\.[^.]*$", ""))
+
+
 def blocks(documents: DataFrame) -> DataFrame:
     return flatten(documents.where("parse_error is null"))
+
+
+def pdf_blocks(items: DataFrame) -> DataFrame:
+    """Items of PDF files (file_name, side, page, str, x, y, width) to the table of blocks that blocks() gives: a section per page."""
+    keyed = items.select(pair_of(F.col("file_name")).alias("pair_id"), "side", "page", "str", "x", "y", "width")
+    keys = ("pair_id", "side", "page")
+    found = pdf.blocks(pdf.lines(keyed, keys), keys)
+    page = F.col("page").cast("int")
+    return found.select("pair_id", "side", (page - 1).alias("sec_idx"), F.concat(F.lit("Page "), page.cast("string")).alias("title"), page.alias("page"), F.lit(None).cast("int").alias("slide"), F.col("block_no").cast("int").alias("block_idx"), "type", "text", "cells", "table_id", "row_index").select(BLOCK_COLUMNS)

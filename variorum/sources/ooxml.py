@@ -46,8 +46,8 @@ def docx(data: bytes) -> list[dict]:
             for row in child.iter(f"{_W}tr"):
                 cells = [_clean(" ".join(_word_text(p) for p in cell.iter(f"{_W}p"))) for cell in row.findall(f"{_W}tc")]
                 if any(cells):
-                    sections[-1]["blocks"].append(_block("tableRow", " | ".join(cells), cells, f"table_{tables}", row_no))
-                    row_no += 1
+                    sections[-1]["blocks"].append(_block("tableRow", " | ".join(cells), cells, f"docx_table_{tables}", row_no))
+                row_no += 1
         elif child.tag == f"{_W}p" and (text := _clean(_word_text(child))):
             style = child.find(f"{_W}pPr/{_W}pStyle")
             name = style.get(f"{_W}val", "") if style is not None else ""

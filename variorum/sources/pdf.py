@@ -45,3 +45,31 @@ def blocks(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> Data
     kind = F.when(F.col("text").rlike(BULLET_LINE), F.lit("list")).otherwise(F.lit("paragraph"))
     paras = paras.select(*keys, "block_no", kind.alias("type"), "text", F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("int").alias("row_index"))
     return rows.unionByName(paras)
+
+
+# How far a word may stand out of a table's box, and the distance of lines that begins a paragraph.
+BOX_MARGIN, LINE_GAP = 1.0, 8.0
+WORD_BULLET = rf"^[•▪◦‣∙·–—\-*]{T.WS}+"
+
+
+def outside_boxes(words: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Words (text, x0, x1, top, bottom) that lie in no table's box (x0, x1, top, bottom) of their page."""
+    box = boxes.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("x0", "x1", "top", "bottom")))
+    inside = (F.col("x0") >= F.col("_x0") - BOX_MARGIN) & (F.col("x1") <= F.col("_x1") + BOX_MARGIN) & (F.col("top") >= F.col("_top") - BOX_MARGIN) & (F.col("bottom") <= F.col("_bottom") + BOX_MARGIN)
+    same = [words[k].eqNullSafe(box[k]) for k in keys]
+    on = same[0]
+    for more in (*same[1:], inside):
+        on &= more
+    return words.join(box, on, "left_anti")
+
+
+def word_paragraphs(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Paragraphs of words, top down: lines of one rounded top, cut at wide gaps and at bullets. para_no counts from 0."""
+    keys = list(keys)
+    line = words.withColumn("line_top", F.rint("top").cast("long"))
+    grouped = line.groupBy(*keys, "line_top").agg(T.js_trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom")).where("text <> ''")
+    order = Window.partitionBy(*keys).orderBy("line_top")
+    gap = F.col("top") - F.lag("bottom").over(order)
+    new = F.when(gap.isNull(), 0).when((gap > LINE_GAP) | F.col("text").rlike(WORD_BULLET), 1).otherwise(0)
+    numbered = grouped.withColumn("_new", new).withColumn("para_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "para_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_top", "text"))), lambda x: x["text"]), " ").alias("text"))

@@ -15,6 +15,13 @@ def text_blocks(c: Column) -> Column:
     return F.filter(joined, lambda b: b != "")
 
 
+def sections(c: Column) -> Column:
+    """A text as a parser gives it: one section, Document, of its blocks."""
+    none = {"cells": "array<string>", "table_id": "string", "row_index": "int"}
+    block = lambda b: F.struct(F.lit("paragraph").alias("type"), b.alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in none.items()))
+    return F.array(F.struct(F.lit("Document").alias("title"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), F.transform(text_blocks(c), block).alias("blocks")))
+
+
 def line_blocks(c: Column) -> Column:
     """Every line a block, for texts without blank lines."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda b: T.js_trim(b) != "")
@@ -27,9 +34,3 @@ def blocks(documents: DataFrame, text: str = "text", cut=text_blocks, kind: Colu
         "pair_id", "side", F.lit(0).alias("sec_idx"), F.lit("Document").alias("title"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"), "block_idx",
         (F.lit("paragraph") if kind is None else kind).alias("type"), "text", F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("int").alias("row_index"),
     ).select(BLOCK_COLUMNS)
-
-
-def read_text(spark, path: str, side: str) -> DataFrame:  # noqa: ANN001
-    """Text files as documents of one side; pair_id is a hash of the file's name."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file_name"))
-    return files.select(F.xxhash64("file_name").alias("pair_id"), F.lit(side).alias("side"), "file_name", "text")
