@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again."""
+def put(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read again, and its path there."""
     path = new_folder(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again."""
+    return put(df, name, partition_by)[0]
+
+
+def kept_from(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written and read again; the tables that were written to make it go."""
+    path = new_folder(spark, name)
+    before = len(_written)
+    try:
+        df = make()
+        df.write.mode("errorifexists").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        while len(_written) > before:
+            delete(*_written.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:
