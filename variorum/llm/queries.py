@@ -131,3 +131,68 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from variorum.llm import decontam
 
     return decontam.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    from variorum.llm import chat
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(more)))
+
+
+ORACLES["op11_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(regexp_replace(text, '(\[)(\\*/?(INST|SYS|ROLE|TURN)\])', '\1\\\2', 'g'), '(<)(\\*/?s>)', '\1\\\2', 'g'))
+    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 24 + length(role) END AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding after five rounds, and how close it is."""
+    from variorum.llm import clusters
+
+    return clusters.cluster(_table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def _round_sql(i: int) -> str:
+    """Assignment i to the centroids c{i}, and the centroids after it."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"""a{i} AS MATERIALIZED (
+  SELECT id, vec_id, arg_min(number, (d, number)) AS cluster, min(d) AS distance FROM (SELECT v.id, v.vec_id, c.number, CAST({distance} AS BIGINT) AS d FROM v CROSS JOIN c{i} c) GROUP BY id, vec_id
+), s{i} AS (
+  SELECT cluster, i, CAST(floor_div(sum(x), count(*)) AS BIGINT) AS x FROM (SELECT a.cluster, unnest(range(1, 65)) AS i, unnest(v.x) AS x FROM a{i} a JOIN v USING (id)) GROUP BY cluster, i
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.number, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS x FROM s{i} GROUP BY cluster) n ON n.cluster = c.number
+)"""
+
+
+# Floor of an exact quotient: integer division rounds towards zero.
+_CLUSTER_ROUNDS = ",\n".join(_round_sql(i).replace("floor_div(sum(x), count(*))", "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)") for i in range(6))
+ORACLES["op12_clusters"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS number, x FROM v QUALIFY number < 40
+), {_CLUSTER_ROUNDS}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.number = a5.cluster
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding."""
+    from variorum.llm import whitening
+
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))

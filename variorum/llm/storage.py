@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from variorum.storage import clean, delete, kept, new_folder, shared_folder  # noqa: F401
+from variorum.storage import clean, delete, kept, kept_from, new_folder, put, shared_folder  # noqa: F401
 
 #: Bytes of a batch that goes to a Python worker.
 BATCH = 8 << 20
