@@ -278,14 +278,22 @@ def _redlined(rows: DataFrame) -> DataFrame:
     return R.redline(R.to_export(rows)).withColumn("redline", worddiff.render(F.col("redline")))
 
 
-@_query()
+_EXPORT = "SELECT pair_id, CAST(block_id AS INTEGER) AS block_id, section, page, slide, paragraph_number, sentence_number, status, source_text, output_text, comments, redline FROM reported"
+_FIRST = "SELECT * EXCLUDE (any_changed, nth) FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY block_id) AS nth FROM (SELECT *, bool_or(status <> 'match') OVER (PARTITION BY pair_id) AS any_changed FROM both_kinds) WHERE any_changed = (status <> 'match')) WHERE nth <= CASE WHEN any_changed THEN 200 ELSE 50 END"
+
+
+def _report_sql(rows: str) -> str:
+    return _with([*_COPY_BLOCKS, *O.compared("blocks", _NORMAL, _SENTENCES, _COMMENT), *O.reported(rows)], _EXPORT)
+
+
+@_query(_report_sql("SELECT * FROM both_kinds"))
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported rows of the comparison of edited copies, all of them, with rendered redlines."""
     result = _compared(spark, sf_dir)
     return _redlined(R.all_rows(result.detail_rows, result.table_rows))
 
 
-@_query()
+@_query(_report_sql(_FIRST))
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows shown on screen of the comparison of edited copies: per pair 200 changed ones, or 50 if nothing changed."""
     result = _compared(spark, sf_dir)

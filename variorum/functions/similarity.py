@@ -1,13 +1,16 @@
 """Similarities of texts: edit distance, word subsequences and their combination.
 
-`levenshtein_similarity` is native. The combination is one vectorised function (bit-parallel edit distance and
-subsequence on big integers), which returns null below a threshold and so is evaluated once per pair.
+`levenshtein_similarity` is native. The combination is one vectorised function, which returns null below a threshold and so
+is evaluated once per pair. Its edit distance is bit-parallel and ends as soon as the threshold is out of reach: many short
+pairs at once with machine words, a long pair with big integers.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,39 +33,137 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in _WS.split(text or "") if w]
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Unit-cost edit distance, by bit vectors."""
-    lo = 0
-    shortest = min(len(a), len(b))
+def edit_distance(a: str, b: str, most: int | None = None) -> int | None:
+    """Unit-cost edit distance, by bit vectors on big integers; None as soon as it can't be `most` or less any more."""
+    if a == b:
+        return 0
+    lo, hi, shortest = 0, 0, min(len(a), len(b))
     while lo < shortest and a[lo] == b[lo]:
         lo += 1
-    a, b = a[lo:], b[lo:]
-    hi, shortest = 0, min(len(a), len(b))
-    while hi < shortest and a[-1 - hi] == b[-1 - hi]:
+    while hi < shortest - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    if hi:
-        a, b = a[:-hi], b[:-hi]
-    if not a or not b:
-        return len(a) + len(b)
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if len(a) > len(b):
         a, b = b, a
+    most = len(b) if most is None else most
+    if len(b) - len(a) > most:
+        return None
+    if not a:
+        return len(b)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, distance = full, 0, len(a)
+    plus, minus, distance, left = full, 0, len(a), len(b)
+    get = where.get
     for c in b:
-        eq = where.get(c, 0)
-        vertical = eq | minus
-        diagonal = (((eq & plus) + plus) ^ plus) | eq
-        up = minus | ~(diagonal | plus) & full
-        down = plus & diagonal
-        distance += bool(up & top) - bool(down & top)
+        left -= 1
+        eq = get(c, 0) | minus
+        same = ((((eq & plus) + plus) ^ plus) | eq) & full
+        up = minus | (same | plus) ^ full
+        down = plus & same
+        if up & top:
+            distance += 1
+            # Each further character lowers it by one at most.
+            if distance - left > most:
+                return None
+        elif down & top:
+            distance -= 1
+        elif distance - left > most:
+            return None
         up = (up << 1 | 1) & full
-        down = down << 1 & full
-        plus = down | ~(vertical | up) & full
-        minus = up & vertical
-    return distance
+        plus = (down << 1) & full | (same | up) ^ full
+        minus = up & same
+    return distance if distance <= most else None
+
+
+#: Bits of a machine word, words up to which many pairs are compared at once, and characters of such pairs in memory.
+_WORD, _WIDEST, _TABLE = 64, 8, 1 << 21
+
+
+def edit_distances(a: list[str], b: list[str], most: list[int]) -> list[int | None]:
+    """edit_distance of many pairs. Those whose shorter text has up to 512 characters go together, column by column."""
+    out: list[int | None] = [None] * len(a)
+    groups: dict[int, list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        shorter, longer = min(len(x), len(y)), max(len(x), len(y))
+        if x == y:
+            out[i] = 0
+        elif longer - shorter > most[i]:
+            continue
+        elif shorter == 0:
+            out[i] = longer
+        elif shorter > _WORD * _WIDEST:
+            out[i] = edit_distance(x, y, most[i])
+        else:
+            groups.setdefault(-(-shorter // _WORD), []).append(i)
+    for words, rows in groups.items():
+        rows.sort(key=lambda i: -max(len(a[i]), len(b[i])))
+        at = 0
+        while at < len(rows):
+            some = rows[at : at + max(1, _TABLE // max(len(a[rows[at]]), len(b[rows[at]])))]
+            at += len(some)
+            shorts, longs = zip(*(sorted((a[i], b[i]), key=len) for i in some), strict=True)
+            found = _together(shorts, longs, np.array([most[i] for i in some]), words)
+            for i, d in zip(some, found.tolist(), strict=True):
+                out[i] = d if d >= 0 else None
+    return out
+
+
+def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and their lengths."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.array([len(t) for t in texts])
+
+
+def _together(shorts: Sequence[str], longs: Sequence[str], most: np.ndarray, words: int) -> np.ndarray:
+    """Distances of pairs whose longer texts come by falling length; -1 where one is over `most`. A column's step over all pairs."""
+    n = len(shorts)
+    codes, m = _codes(shorts)
+    row, place = np.repeat(np.arange(n), m), np.arange(len(codes)) - np.repeat(np.cumsum(m) - m, m)
+    keys, slot = np.unique(row << 21 | codes, return_inverse=True)
+    masks = np.zeros((len(keys) + 1, words), np.uint64)  # the last row: characters that the shorter text lacks
+    np.add.at(masks, (slot, place // _WORD), np.uint64(1) << (place % _WORD).astype(np.uint64))
+    codes, length = _codes(longs)
+    row, place = np.repeat(np.arange(n), length), np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+    wanted = row << 21 | codes
+    slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    text = np.full((n, int(length.max())), len(keys), np.int32)
+    text[row, place] = np.where(keys[slot] == wanted, slot, len(keys))
+
+    out = np.full(n, -1, np.int64)
+    alive, distance = np.arange(n), m.copy()
+    top_word, top_bit = (m - 1) // _WORD, ((m - 1) % _WORD).astype(np.uint64)
+    one, last = np.uint64(1), np.uint64(_WORD - 1)
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    for j in range(text.shape[1]):
+        eqs = masks[text[alive, j]]
+        rise, fall = np.ones(len(alive), np.uint64), np.zeros(len(alive), np.uint64)
+        for w in range(words):
+            p, q, eq = plus[w], minus[w], eqs[:, w]
+            vertical = eq | q
+            eq = eq | fall
+            same = (((eq & p) + p) ^ p) | eq
+            up = q | ~(same | p)
+            down = p & same
+            at = top_word == w
+            if at.all():
+                distance += (up >> top_bit & one).astype(np.int64) - (down >> top_bit & one).astype(np.int64)
+            elif at.any():
+                distance[at] += (up[at] >> top_bit[at] & one).astype(np.int64) - (down[at] >> top_bit[at] & one).astype(np.int64)
+            over, under = up >> last, down >> last
+            up, down = up << one | rise, down << one | fall
+            plus[w], minus[w] = down | ~(vertical | up), up & vertical
+            rise, fall = over, under
+        left = length[alive] - j - 1
+        done = left == 0
+        out[alive[done & (distance <= most[alive])]] = distance[done & (distance <= most[alive])]
+        if done.any() or j % 16 == 15:
+            stay = ~done & (distance - left <= most[alive])
+            if not stay.all():
+                alive, distance, top_word, top_bit, plus, minus = alive[stay], distance[stay], top_word[stay], top_bit[stay], plus[:, stay], minus[:, stay]
+                if not len(alive):
+                    break
+    return out
 
 
 def subsequence(a: list[str], b: list[str]) -> int:
@@ -85,20 +186,51 @@ def lcs_ratio(a: list[str], b: list[str]) -> float:
     return 2.0 * subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
+def combined_scores(a: list[str | None], b: list[str | None], least: float = 0.0) -> list[float | None]:
+    """The combined similarities of pairs; None where one is below `least`, which upper bounds tell before the edit distance.
+
+    Equal pairs are scored once, and a text's words and masked numbers are found once.
+    """
+    a, b = [x or "" for x in a], [x or "" for x in b]
+    first: dict[tuple[str, str], int] = {}
+    where = [first.setdefault(pair, len(first)) for pair in zip(a, b, strict=True)]
+    words: dict[str, list[str]] = {}
+    masked: dict[str, str] = {}
+    for text in {t for pair in first for t in pair}:
+        words[text] = split_words(text)
+        masked[text] = _SKELETON.sub("#", text)
+    scores: list[float | None] = [None] * len(first)
+    due, lefts, rights, most, lcs = [], [], [], [], []
+    for k, (x, y) in enumerate(first):
+        if x == y:
+            scores[k] = 1.0
+            continue
+        longest = max(len(x), len(y))
+        numbers_only = masked[x] != x and masked[x] == masked[y]
+        likely = 1 - (longest - min(len(x), len(y))) / longest
+        if not numbers_only and LEV_WEIGHT * likely + LCS_WEIGHT < least - 1e-9:
+            continue
+        ratio = lcs_ratio(words[x], words[y])
+        if not numbers_only and LEV_WEIGHT * likely + LCS_WEIGHT * ratio < least - 1e-9:
+            continue
+        # The largest distance that still reaches least; one more for rounding.
+        reach = longest if numbers_only else min(longest, int(longest * (1 - (least - LCS_WEIGHT * ratio) / LEV_WEIGHT)) + 1)
+        due.append((k, numbers_only, longest))
+        lefts.append(x)
+        rights.append(y)
+        most.append(reach)
+        lcs.append(ratio)
+    for (k, numbers_only, longest), ratio, distance in zip(due, lcs, edit_distances(lefts, rights, most), strict=True):
+        if distance is not None:
+            score = LEV_WEIGHT * (1 - distance / longest) + LCS_WEIGHT * ratio
+            score = max(score, NUMBERS_ONLY) if numbers_only else score
+            scores[k] = score if score >= least else None
+    return [scores[k] for k in where]
+
+
 def combined(a: str | None, b: str | None, least: float = 0.0) -> float | None:
-    """The combined similarity; None if it is below `least` (upper bounds then spare the edit distance)."""
-    a, b = a or "", b or ""
-    if a == b:
-        return 1.0
-    skeleton = _SKELETON.sub("#", a)
-    numbers_only = skeleton != a and skeleton == _SKELETON.sub("#", b)
-    lcs = lcs_ratio(split_words(a), split_words(b))
-    if not numbers_only and LEV_WEIGHT * min(len(a), len(b)) / max(len(a), len(b)) + LCS_WEIGHT * lcs < least - 1e-9:
-        return None
-    score = LEV_WEIGHT * (1 - edit_distance(a, b) / max(len(a), len(b))) + LCS_WEIGHT * lcs
-    if numbers_only:
-        score = max(score, NUMBERS_ONLY)
-    return score if score >= least else None
+    """The combined similarity of one pair; None if it is below `least`."""
+    return combined_scores([a], [b], least)[0]
 
 
 def lcs_similarity(a: Column, b: Column) -> Column:
@@ -114,6 +246,6 @@ def combined_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
 
     @F.pandas_udf(DoubleType())
     def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([combined(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(combined_scores(x.tolist(), y.tolist(), least), dtype="float64")
 
     return scored.asNondeterministic()(a, b)

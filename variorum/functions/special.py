@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +18,6 @@ def multiset_minus(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(F.array_distinct(a), lambda v: F.array_repeat(v, F.greatest(F.lit(0), count(a, v) - count(b, v)))))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), where value is computed once however often f reads it (Spark copies the expression of a plain column)."""
-    return F.transform(F.array(value), f)[0]
-
-
 def found(c: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """A struct of the matches of each kind in a text."""
     return F.struct(*(T.matches(T.unclaimed(c) if k == "number" else c, k).alias(k) for k in kinds))
@@ -39,14 +32,14 @@ def changes(src: Column, out: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
         def one(kind: str) -> Column:
             pair = F.struct(multiset_minus(b[kind], a[kind]).alias("added"), multiset_minus(a[kind], b[kind]).alias("removed"))
-            told = _once(pair, lambda p: F.when((F.size(p["added"]) > 0) | (F.size(p["removed"]) > 0), p))
+            told = T.once(pair, lambda p: F.when((F.size(p["added"]) > 0) | (F.size(p["removed"]) > 0), p))
             return F.when(a[kind] != b[kind], told).otherwise(none)
 
         return F.struct(*((one(k) if k in kinds else none).alias(k) for k in KINDS))
 
     if not kinds:
         return F.struct(*(none.alias(k) for k in KINDS))
-    return _once(F.struct(found(src, kinds).alias("a"), found(out, kinds).alias("b")), compared)
+    return T.once(F.struct(found(src, kinds).alias("a"), found(out, kinds).alias("b")), compared)
 
 
 def summary(special: Column) -> Column:

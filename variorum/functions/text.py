@@ -6,6 +6,7 @@ included), never the narrower one of SQL's trim().
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 # White space, folded characters, patterns and thresholds that results depend on.
 WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARACTERS = "".join(chr(c) for c in (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 BULLET = rf"^{WS}*[•▪◦‣∙·–—\-\*]{WS}+"
 PUNCTUATION = r"""[.,;:!?"'“”‘’()\[\]{}]"""
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -28,6 +30,9 @@ PATTERNS = {
 }
 SKELETON = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
 HEADER_FOOTER_LENGTH = 60
+FOLDED = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0"
+#: Spaces and tabs that become one space; a single space is one already.
+SEVERAL = r"[ \t]{2,}|\t"
 
 
 @dataclass(frozen=True)
@@ -42,18 +47,25 @@ class NormalizeOptions:
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f reads it (Spark copies the expression of a plain column)."""
+    return F.transform(F.array(value), f)[0]
 
 
 def normalize(c: Column, opts: NormalizeOptions = NormalizeOptions()) -> Column:
     """Quotes, dashes and no-break spaces folded, then bullets, spaces, punctuation and case as the options say."""
-    c = F.translate(F.coalesce(c, F.lit("")), "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- ")
+    c = F.coalesce(c, F.lit(""))
+    # Folding and joining look at every character: only what has something to fold or to join goes there.
+    c = F.when(c.rlike(f"[{FOLDED}]"), F.translate(c, FOLDED, "''\"\"-- ")).otherwise(c)
     if opts.ignore_bullet_symbols:
         c = F.regexp_replace(c, BULLET, "")
     if opts.ignore_extra_spaces:
-        c = js_trim(F.regexp_replace(c, r"[ \t]+", " "))
+        c = js_trim(F.regexp_replace(c, SEVERAL, " "))
     if opts.ignore_punctuation:
-        c = F.regexp_replace(F.regexp_replace(c, PUNCTUATION, ""), r"[ \t]+", " ")
+        c = F.regexp_replace(F.regexp_replace(c, PUNCTUATION, ""), SEVERAL, " ")
     if opts.ignore_case:
         c = F.lower(c)
     return js_trim(c)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.functions.similarity import split_words
+from variorum.functions.text import once
 
 # Words of context kept, and the length up to which texts aren't trimmed.
 CONTEXT, TRIM_FROM = 4, 20
@@ -17,19 +21,28 @@ TOKEN = "array<struct<type:string,text:string>>"
 def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """The merged redline: where removing and adding are equally good from the end, removing is taken first there.
 
-    Column j of the table of common subsequences is kept as a bit row: bit i is 0 where the entry of a[:i + 1] is one more than
-    that of a[:i]. So n times m bits are held, and an entry is a count of zeros.
+    Column j of the table of common subsequences is a bit row: bit i is 0 where the entry of a[:i + 1] is one more than that of
+    a[:i], so an entry is a count of zeros. Of m columns, every sqrt(m)-th is kept; the walk back computes those between anew,
+    a stretch at a time. So about 2 n sqrt(m) bits are held, and each column is computed twice.
     """
     where: dict[str, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
-    columns = [full]
-    for w in b:
-        v = columns[-1]
-        u = v & where.get(w, 0)
-        columns.append(((v + u) | (v - u)) & full)
-    out, i, j = [], len(a), len(b)
+    step = math.isqrt(len(b)) + 1
+
+    def after(v: int, words: list[str]) -> Iterator[int]:
+        for w in words:
+            u = v & where.get(w, 0)
+            v = ((v + u) | (v - u)) & full
+            yield v
+
+    marks = [full]
+    for j, v in enumerate(after(full, b), 1):
+        if j % step == 0:
+            marks.append(v)
+    out: list[tuple[str, str]] = []
+    i, j, at, columns = len(a), len(b), len(marks), []
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
@@ -37,9 +50,13 @@ def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
             continue
         remove = bool(i) and not j
         if i and j:
+            if (j - 1) // step < at:
+                at = (j - 1) // step
+                columns = [marks[at], *after(marks[at], b[at * step : (at + 1) * step])]
             low = (1 << i) - 1
-            up = i - 1 - (columns[j] & (low >> 1)).bit_count()  # the entry at (i - 1, j)
-            left = i - (columns[j - 1] & low).bit_count()  # the entry at (i, j - 1)
+            # The entries at (i - 1, j) and (i, j - 1).
+            up = i - 1 - (columns[j - at * step] & (low >> 1)).bit_count()
+            left = i - (columns[j - 1 - at * step] & low).bit_count()
             remove = up >= left
         if remove:
             i -= 1
@@ -85,28 +102,37 @@ def render_row(status: Column, source: Column, output: Column, merged: Column) -
 
 def trim_around_change(src: Column, out: Column, context: int = CONTEXT, threshold: int = TRIM_FROM) -> Column:
     """struct<source, output, trimmed>: both texts cut to the words around the first and last difference."""
-    a, b = T.tokens(src), T.tokens(out)
-    na, nb = F.size(a), F.size(b)
-    shortest = F.least(na, nb)
-
-    def run(x: Column, y: Column, upto: Column) -> Column:
-        """How many leading words are equal, at most upto."""
-        differs = F.filter(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda i: (i <= upto) & ~F.get(x, i - 1).eqNullSafe(F.get(y, i - 1)))
-        return F.when(upto <= 0, F.lit(0)).otherwise(F.coalesce(F.array_min(differs) - 1, upto))
-
-    prefix = run(a, b, shortest)
-    suffix = run(F.reverse(a), F.reverse(b), shortest - prefix)
-    start = F.greatest(F.lit(0), prefix - context)
-    ends = [F.least(n, n - suffix + context) for n in (na, nb)]
-    whole = ((na <= threshold) & (nb <= threshold)) | (ends[0] <= start) | (ends[1] <= start)
-
-    def snippet(words: Column, end: Column, n: Column) -> Column:
-        middle = F.array_join(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), " ")
-        return F.concat(F.when(start > 0, F.lit("… ")).otherwise(F.lit("")), middle, F.when(end < n, F.lit(" …")).otherwise(F.lit("")))
-
-    keep = [F.coalesce(c, F.lit("")) for c in (src, out)]
-    return F.struct(
-        F.when(whole, keep[0]).otherwise(snippet(a, ends[0], na)).alias("source"),
-        F.when(whole, keep[1]).otherwise(snippet(b, ends[1], nb)).alias("output"),
-        (~whole).alias("trimmed"),
-    )
+    # Each level is computed once: words, then how many are equal from the start and from the end, then where to cut.
+    words = F.struct(T.tokens(src).alias("a"), T.tokens(out).alias("b"), F.coalesce(src, F.lit("")).alias("src"), F.coalesce(out, F.lit("")).alias("out"))
+
+    def alike(x: Column, y: Column) -> Column:
+        """How many leading words are equal. The shorter text is filled up with nulls, which equal no word."""
+        first = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
+        return F.when(first > 0, first - 1).otherwise(F.size(x)).cast("int")
+
+    def measured(w: Column) -> Column:
+        return F.struct(w["a"].alias("a"), w["b"].alias("b"), w["src"].alias("src"), w["out"].alias("out"), alike(w["a"], w["b"]).alias("prefix"), alike(F.reverse(w["a"]), F.reverse(w["b"])).alias("suffix"))
+
+    def placed(w: Column) -> Column:
+        na, nb = F.size(w["a"]), F.size(w["b"])
+        suffix = F.least(w["suffix"], F.least(na, nb) - w["prefix"])
+        return F.struct(
+            w["a"].alias("a"), w["b"].alias("b"), w["src"].alias("src"), w["out"].alias("out"), na.alias("na"), nb.alias("nb"),
+            F.greatest(F.lit(0), w["prefix"] - context).alias("start"), F.least(na, na - suffix + context).alias("a_end"), F.least(nb, nb - suffix + context).alias("b_end"),
+        )
+
+    def cut(w: Column) -> Column:
+        start = w["start"]
+        whole = ((w["na"] <= threshold) & (w["nb"] <= threshold)) | (w["a_end"] <= start) | (w["b_end"] <= start)
+
+        def snippet(side: Column, end: Column, n: Column) -> Column:
+            middle = F.array_join(F.slice(side, start + 1, F.greatest(end - start, F.lit(0))), " ")
+            return F.concat(F.when(start > 0, F.lit("… ")).otherwise(F.lit("")), middle, F.when(end < n, F.lit(" …")).otherwise(F.lit("")))
+
+        return F.struct(
+            F.when(whole, w["src"]).otherwise(snippet(w["a"], w["a_end"], w["na"])).alias("source"),
+            F.when(whole, w["out"]).otherwise(snippet(w["b"], w["b_end"], w["nb"])).alias("output"),
+            (~whole).alias("trimmed"),
+        )
+
+    return once(words, lambda w: once(measured(w), lambda m: once(placed(m), cut)))

@@ -209,3 +209,25 @@ def trimmed(a: str, b: str, source: str) -> str:
       SELECT *, {run("list_reverse(wa)", "list_reverse(wb)", "(least(na, nb) - prefix)")} AS suffix FROM (
         SELECT *, {run("wa", "wb", "least(na, nb)")} AS prefix FROM (
           SELECT *, len(wa) AS na, len(wb) AS nb FROM (SELECT *, {WORDS.format(f"coalesce({a}, '')")} AS wa, {WORDS.format(f"coalesce({b}, '')")} AS wb FROM {source}))))))"""
+
+
+ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+def reported(rows: str) -> list[str]:
+    """reported: the exported rows, with rendered redlines, of what `rows` selects of both_kinds (details and table rows)."""
+    said = "CASE WHEN comments <> '' THEN comments ELSE CASE status WHEN 'missing' THEN 'Table row removed' WHEN 'added' THEN 'Table row added' WHEN 'modified' THEN 'Table row modified' ELSE '' END END"
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '') AS {c.split('.')[-1]}"
+    return [
+        f"both_kinds AS MATERIALIZED (SELECT pair_id, block_id, section, page, slide, paragraph_number, sentence_number, status, source_text, output_text, comments FROM details UNION ALL SELECT pair_id, block_id, section, page, slide, NULL, NULL, status, source_text, output_text, {said} FROM rows_t)",
+        f"chosen AS MATERIALIZED ({rows})",
+        "long_ones AS MATERIALIZED (SELECT pair_id, block_id, source_text, output_text FROM chosen WHERE status IN ('modified', 'reformatted'))",
+        f"cut AS MATERIALIZED ({trimmed('source_text', 'output_text', 'long_ones')})",
+        "red_in AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pair_id, block_id) AS id, pair_id, block_id, CASE WHEN trimmed THEN source ELSE source_text END AS a, CASE WHEN trimmed THEN output ELSE output_text END AS b, trimmed FROM cut)",
+        *redline("red", "red_in"),
+        f"""reported AS (SELECT r.pair_id, r.block_id, {text("r.section")}, {text("r.page")}, {text("r.slide")}, {text("r.paragraph_number")}, {text("r.sentence_number")}, upper(r.status[1]) || r.status[2:] AS status,
+  coalesce(i.a, r.source_text, '') AS source_text, coalesce(i.b, r.output_text, '') AS output_text,
+  CASE WHEN NOT coalesce(i.trimmed, false) THEN r.comments WHEN r.comments = '' THEN 'Long sentence trimmed to change context' ELSE r.comments || ' (long sentence trimmed to change context)' END AS comments,
+  CASE WHEN r.status IN ('modified', 'reformatted') THEN d.html WHEN r.status = 'missing' THEN '<del>' || {ESCAPE.format("r.source_text")} || '</del>' WHEN r.status = 'added' THEN '<ins>' || {ESCAPE.format("r.output_text")} || '</ins>' ELSE {ESCAPE.format("r.source_text")} END AS redline
+  FROM chosen r LEFT JOIN red_in i ON i.pair_id = r.pair_id AND i.block_id = r.block_id LEFT JOIN red d ON d.id = i.id)""",
+    ]

@@ -23,6 +23,8 @@ from variorum.storage import kept
 # Thresholds of the five alignments, and the least length that is reconciled.
 SECTION, PARAGRAPH, SENTENCE, TABLE, RECONCILE = 0.30, 0.45, 0.45, 0.40, 0.75
 RECONCILE_FROM = 8
+#: Paragraphs of a section, or its tables, that are numbered together.
+STRETCH = 1024
 
 
 @dataclass(frozen=True)
@@ -175,10 +177,19 @@ def table_rows(src: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def with_block_ids(details: DataFrame, tables: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One running number over both kinds of rows in traversal order, and the sections' title, page and slide."""
+    """One running number over both kinds of rows in traversal order, and the sections' title, page and slide.
+
+    Rows are counted by stretches of a section; a scan over a pair's counts says where each stretch's numbers start, and rows
+    are numbered within stretches. So no task holds all rows of a pair.
+    """
     where = ops.select("pair_id", "sec_op", F.coalesce("title", F.lit("")).alias("section"), "page", "slide")
     places = details.select("pair_id", "sec_op", F.lit(0).alias("kind"), F.col("para_op").alias("p"), F.col("sub").alias("q")).unionByName(tables.select("pair_id", "sec_op", F.lit(1).alias("kind"), F.col("table_rank").alias("p"), F.col("op_pos").alias("q")))
-    numbered = places.withColumn("block_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("sec_op", "kind", "p", "q")))
+    stretch = ["pair_id", "sec_op", "kind", "stretch"]
+    places = places.withColumn("stretch", F.floor(F.col("p") / STRETCH).cast("int"))
+    counts = places.groupBy(*stretch).agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy("pair_id").orderBy("sec_op", "kind", "stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*stretch).orderBy("p", "q"))
+    numbered = places.withColumn("_nth", nth).join(starts, stretch).withColumn("block_id", (F.coalesce("_start", F.lit(0)) + F.col("_nth")).cast("int")).drop("stretch", "_nth", "_start")
     ids = numbered.join(where, ["pair_id", "sec_op"])
     d = details.join(ids.where("kind = 0").drop("kind").withColumnsRenamed({"p": "para_op", "q": "sub"}), ["pair_id", "sec_op", "para_op", "sub"])
     t = tables.join(ids.where("kind = 1").drop("kind").withColumnsRenamed({"p": "table_rank", "q": "op_pos"}), ["pair_id", "sec_op", "table_rank", "op_pos"])

@@ -79,12 +79,11 @@ def to_export(rows: DataFrame) -> DataFrame:
 def redline(exported: DataFrame) -> DataFrame:
     """exported with redline: missing all removed, added all added, changed the merged word difference, else equal."""
     one = lambda kind, c: F.array(F.struct(F.lit(kind).alias("type"), F.col(c).alias("text")))
-    merged = diff_words_merged(F.col("source_text"), F.col("output_text"))
     changed = F.col("status").isin("Modified", "Reformatted")
-    # The difference is taken only where it is needed.
-    some = exported.where(changed).withColumn("redline", merged)
-    rest = exported.where(~changed).withColumn("redline", F.when(F.col("status") == "Missing", one("removed", "source_text")).when(F.col("status") == "Added", one("added", "output_text")).otherwise(one("equal", "source_text")))
-    return some.unionByName(rest)
+    # Texts go to the difference only where it is needed.
+    merged = diff_words_merged(*(F.when(changed, F.col(c)) for c in ("source_text", "output_text")))
+    whole = F.when(F.col("status") == "Missing", one("removed", "source_text")).when(F.col("status") == "Added", one("added", "output_text")).otherwise(one("equal", "source_text"))
+    return exported.withColumn("_merged", merged).withColumn("redline", F.when(changed, F.col("_merged")).otherwise(whole)).drop("_merged")
 
 
 _CARDS = ("total_sections", "total_paragraphs", "total_sentences", "matched", "modified", "missing", "added", "reformatted", "match_percentage")
