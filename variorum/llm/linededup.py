@@ -9,9 +9,9 @@ Blank lines (of spaces, tabs, form feeds and carriage returns) stay. Texts are j
 2. Lines that can have a neighbour: one edit leaves the first or the last half whole. Each distinct line emits hashes of
    both halves, for its own length and for one less; only lines that share one with another line go on. Nothing is lost.
 3. Their neighbourhood: every variant with one character deleted is emitted as a hashed key with its place. Two lines of
-   one variant and place differ by a replacement; a line that is a variant of another differs by a deletion. In a group
-   of equal keys each line is paired with the earliest only (all in such a group are within one edit of each other), so
-   pairs grow with lines and not with their square. A key is hashed from three parts: what stands before the `SEGMENT`
+   one variant and place differ by a replacement; a line that is a variant of another differs by a deletion. Both are found
+   by one shuffle of (key, place, number of the line). In a group of equal keys each line is paired with the earliest only
+   (all in such a group are within one edit of each other), so pairs grow with lines and not with their square. A key is hashed from three parts: what stands before the `SEGMENT`
    characters around the place, the segment without the character, and what stands behind. The outer two are hashed once
    for a segment, so a line of n characters costs about SEGMENT hashed characters for a variant, and not n.
 4. Pairs are verified by edit distance, the later line goes, and the texts are assembled from the lines left.
@@ -23,7 +23,7 @@ by 3) are added in place of any columns of those names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.llm import storage
@@ -112,26 +112,28 @@ def dedup(docs: DataFrame, near_from: int = NEAR_FROM, edits: int = EDITS) -> Da
     first = first.select("h1", "h2", "at.doc_id", "at.text_hash", "at.line_no").select("h1", "h2", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "line_no")))
     first = storage.kept(first, "line-first")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
-    texts = lines.join(_near(first), same).select("h1", "h2", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
-    texts = storage.kept(texts, "line-texts")
+    texts = lines.join(_near(first), same).select("h1", "h2", *(F.col(f"_{c}").alias(c) for c in ("doc_id", "text_hash", "line_no")), "line").dropDuplicates(["h1", "h2"])
+    # Numbers in the order of first positions stand for lines from here on.
+    order = ["doc_id", "text_hash", "line_no"]
+    texts = storage.kept(texts.repartitionByRange(*order).sortWithinPartitions(*order).select("h1", "h2", "line", F.monotonically_increasing_id().alias("id")), "line-texts")
     # A line becomes as many rows as it has characters: tasks are dealt by characters, not by lines.
     size = texts.agg(F.sum(F.length("line"))).head()[0] or 0
-    spread = texts.repartition(1 + size // VARIANTS, "h1")
-    variants = storage.kept(spread.select("h1", "h2", "at", F.explode(_variants()).alias("v")).select("h1", "h2", "at", "v.place", "v.variant"), "line-variants")
-    me = F.struct("at", "h1", "h2")
-    leaders = variants.groupBy("variant", "place").agg(F.min(me).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = variants.join(leaders, ["variant", "place"]).where("at > leader.at").select(F.struct("h1", "h2").alias("late"), F.struct("leader.h1", "leader.h2").alias("early"))
-    whole = texts.select(F.explode(F.array_distinct(_as_variant())).alias("variant"), F.struct("at", "h1", "h2").alias("short"))
-    deleted = variants.join(whole, "variant").select(F.struct("at", "h1", "h2").alias("long"), "short")
-    longer_later = F.col("long.at") > F.col("short.at")
-    deleted = deleted.select(*(F.struct(*(F.when(cond, F.col(f"long.{h}")).otherwise(F.col(f"short.{h}")).alias(h) for h in ("h1", "h2"))).alias(name) for name, cond in (("late", longer_later), ("early", ~longer_later))))
-    pairs = replaced.unionByName(deleted).distinct()
+    spread = texts.repartition(1 + size // VARIANTS, "id")
+    variants = spread.select("id", F.explode(_variants()).alias("v")).select("v.variant", "v.place", "id")
+    whole = texts.select(F.explode(F.array_distinct(_as_variant())).alias("variant"), F.lit(0).alias("place"), "id")
+    # One shuffle: of the rows of a variant, a line that is the variant itself comes first, then those of each place. They are
+    # distinct lines that differ in one character, so few; and running windows hold none of them.
+    keyed = variants.unionByName(whole)
+    leader = F.first("id").over(Window.partitionBy("variant", "place").orderBy("id"))
+    itself = F.first(F.when(F.col("place") == 0, F.col("id"))).over(Window.partitionBy("variant").orderBy("place", "id"))
+    led = keyed.withColumns({"leader": leader, "itself": itself}).where("place > 0 and (leader <> id or itself is not null)")
+    linked = led.select(F.explode(F.array_compact(F.array(F.when(F.col("leader") != F.col("id"), F.struct(F.col("leader").alias("early"), F.col("id").alias("late"))), F.when(F.col("itself").isNotNull() & (F.col("itself") != F.col("id")), F.struct(F.least("itself", "id").alias("early"), F.greatest("itself", "id").alias("late")))))).alias("p"))
+    pairs = linked.select("p.early", "p.late").distinct()
 
     # 4. Verification, and the lines that stay.
-    text = texts.select(F.struct("h1", "h2").alias("id"), "line")
-    checked = pairs.join(text.select(F.col("id").alias("late"), F.col("line").alias("a")), "late").join(text.select(F.col("id").alias("early"), F.col("line").alias("b")), "early")
-    gone = checked.where((F.levenshtein("a", "b", 1) >= 0) & (F.col("late") != F.col("early"))).select("late.h1", "late.h2").distinct()
-    gone = storage.kept(gone, "line-gone")
+    late = texts.select(F.col("id").alias("late"), F.col("line").alias("a"), "h1", "h2")
+    checked = pairs.join(late, "late").join(texts.select(F.col("id").alias("early"), F.col("line").alias("b")), "early")
+    gone = storage.kept(checked.where(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2").distinct(), "line-gone")
     marked = distinct.join(_near(gone.withColumn("near", F.lit(True))), ["h1", "h2"], "left")
     stay = marked.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line_no"))).alias("_stay"), F.count("near").alias("n_near"))
     stay = stay.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_stay", "n_near")
