@@ -105,3 +105,16 @@ def test_pptx():
         ("paragraph", "Chart title: Sales"), ("paragraph", "2024 — Q1: 5, Q2: 7"), ("tableRow", "a b | c"), ("tableRow", " | d"), ("notes", "a note"),
     ]
     assert first["blocks"][8]["table_id"] == "slide2_table_1" and [b["text"] for b in last["blocks"]] == ["last"]
+
+
+def test_one_file_for_a_path(spark, tmp_path):
+    for name, text in (("old/x.txt", "First text."), ("old/x.html", "<p>Other words.</p>"), ("old/sub/x.txt", "Below."), ("new/x.txt", "First text."), ("new/sub/x.txt", "Below."), ("new/a.b/y", "No extension.")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    docs = files.read_pairs(spark, str(tmp_path / "old"), f"file://{tmp_path}/new/").collect()
+    told = {(d.side, d.file_name): (d.parse_error or "").partition(":")[0] for d in docs}
+    assert told == {("src", "x.txt"): files.AMBIGUOUS, ("src", "x.html"): files.AMBIGUOUS, ("src", "sub/x.txt"): "", ("out", "x.txt"): "", ("out", "sub/x.txt"): "", ("out", "a.b/y"): files.UNSUPPORTED}
+    pairs = {}
+    for d in docs:
+        pairs.setdefault(d.pair_id, set()).add(d.file_name)
+    assert sorted(map(sorted, pairs.values())) == [["a.b/y"], ["sub/x.txt"], ["x.html", "x.txt"]]

@@ -39,6 +39,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _ranked(df: DataFrame, order: str) -> DataFrame:
+    """df with idx, from 0, in the order of a column: ranks within ranges of it, after the counts of the ranges before."""
+    dealt = kept(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy("_part").count()
+    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_nth", nth).join(starts, "_part").withColumn("idx", (F.col("_start") + F.col("_nth") - 1).cast("int")).drop("_part", "_nth", "_start")
+
+
 def _joined(c: Column) -> Column:
     return F.array_join(c, "|")
 

@@ -121,12 +121,17 @@ def file_extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"(?i)\.([a-z0-9]+)$", 1))
 
 
+def collapse(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return js_trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
 def reconcile_key(c: Column) -> Column:
-    return js_trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{WS}+", " "))
+    return collapse(F.lower(c))
 
 
 def append_comment(existing: Column, addition: Column) -> Column:

@@ -130,7 +130,7 @@ def choose(edges: DataFrame, scope: list[str], spread: int = SPREAD) -> DataFram
     ids = edges.select(*scope, F.col("src_idx").cast("int").alias("src_idx"), F.col("out_idx").cast("int").alias("out_idx"), "score")
     rest = kept(ids, "edges")
     taken = None
-    while True:
+    while rest.count() > spread:
         sizes = kept(rest.groupBy(*scope).count().where(F.col("count") > spread), "crowded")
         before = sizes.agg(F.sum("count")).head()[0]
         if not before:

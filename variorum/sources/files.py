@@ -21,7 +21,7 @@ from variorum.sources import text as X
 _SECTIONS = RAW_DOCUMENT.partition("sections ")[2]
 PARSED = f"pair_id long, side string, {RAW_DOCUMENT}, parse_error string"
 #: Classes of errors: the request is wrong, or the file can't be read. They begin parse_error.
-EMPTY, UNSUPPORTED, UNREADABLE = "Empty file", "Unsupported file type", "Could not parse"
+EMPTY, UNSUPPORTED, UNREADABLE, AMBIGUOUS = "Empty file", "Unsupported file type", "Could not parse", "More than one file"
 
 
 def _html(data: bytes) -> list[dict]:
@@ -33,13 +33,17 @@ _COLUMNS = ["pair_id", "side", "doc_type", "file_name", "sections", "parse_error
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """pair_id, side, file_name and content (binary) to documents with sections, or a parse_error of one of the classes above."""
-    known = files.select("pair_id", "side", T.file_extension(F.col("file_name")).alias("doc_type"), "file_name", "content")
+    """pair_id, side, file_name and content (binary) to documents with sections, or a parse_error of one of the classes above.
+
+    A column `wrong`, if there is one, holds errors known before.
+    """
+    before = F.col("wrong") if "wrong" in files.columns else F.lit(None).cast("string")
+    known = files.select("pair_id", "side", T.file_extension(F.col("file_name")).alias("doc_type"), "file_name", "content", before.alias("wrong"))
     empty = F.coalesce(F.octet_length("content"), F.lit(0)) == 0
     supported = F.col("doc_type").isin("txt", *PARSERS)
     items = "A PDF is read from its table of items"
-    wrong = F.when(empty, EMPTY).when(F.col("doc_type") == "pdf", f"{UNSUPPORTED}: .pdf. {items}").when(~supported, F.concat(F.lit(f"{UNSUPPORTED}: ."), "doc_type"))
-    checked = known.withColumn("parse_error", wrong)
+    wrong = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(empty, EMPTY).when(F.col("doc_type") == "pdf", f"{UNSUPPORTED}: .pdf. {items}").when(~supported, F.concat(F.lit(f"{UNSUPPORTED}: ."), "doc_type"))
+    checked = known.withColumn("parse_error", wrong).drop("wrong")
     nothing = F.array().cast(_SECTIONS)
     bad = checked.where("parse_error is not null").withColumn("sections", nothing)
     plain = checked.where("parse_error is null and doc_type = 'txt'").withColumn("sections", X.sections(F.make_valid_utf8(F.col("content").cast("string"))))
@@ -59,19 +63,32 @@ def parse_documents(files: DataFrame) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, source: str, output: str) -> DataFrame:
-    """Documents of two folders; files of one name (without extension) are a pair."""
+    """Documents of two folders and all below them; files of one relative path (without extension) are a pair.
+
+    Where a folder has more than one file of a path, as with different extensions, none of them is read: each has an error
+    that says so.
+    """
 
     def side(path: str, name: str) -> DataFrame:
-        found = spark.read.format("binaryFile").load(path)
-        file_name = F.regexp_extract("path", r"([^/]+)$", 1)
-        return found.select(pair_of(file_name).alias("pair_id"), F.lit(name).alias("side"), file_name.alias("file_name"), "content")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        relative = F.expr("substring(regexp_replace(path, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?', ''), " + str(len(root) + 2) + ")")
+        return found.select(pair_of(relative).alias("pair_id"), F.lit(name).alias("side"), relative.alias("file_name"), "content")
+
+    return parse_documents(one_of_each(side(source, "src").unionByName(side(output, "out"))))
+
 
-    return parse_documents(side(source, "src").unionByName(side(output, "out")))
+def one_of_each(files: DataFrame) -> DataFrame:
+    """files with `wrong`, an error of those that share their pair and side. Only names are shuffled for it, no contents."""
+    several = files.groupBy("pair_id", "side").agg(F.count("*").alias("_n"), F.min("file_name").alias("_a"), F.max("file_name").alias("_b")).where("_n > 1")
+    wrong = F.when(F.col("_n").isNotNull(), F.concat(F.lit(f"{AMBIGUOUS}: "), "_a", F.lit(", "), "_b"))
+    return files.join(several, ["pair_id", "side"], "left").withColumn("wrong", wrong).drop("_n", "_a", "_b")
 
 
 def pair_of(file_name: Column) -> Column:
-    """The pair that a file belongs to: a hash of its name without extension."""
-    return F.xxhash64(F.regexp_replace(file_name, r"\.[^.]*$", ""))
+    """The pair that a file belongs to: a hash of its path without extension."""
+    return F.xxhash64(F.regexp_replace(file_name, r"\.[^./]*$", ""))
 
 
 def blocks(documents: DataFrame) -> DataFrame:

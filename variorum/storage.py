@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,19 +44,26 @@ def kept(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return put(df, name, partition_by)[0]
 
 
-def kept_from(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make gives, written and read again; the tables that were written to make it go."""
-    path = new_folder(spark, name)
+@contextlib.contextmanager
+def freed() -> Iterator[None]:
+    """Tables that are written inside go at the end."""
     before = len(_written)
     try:
-        df = make()
-        df.write.mode("errorifexists").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        yield
     finally:
         while len(_written) > before:
             delete(*_written.pop())
 
 
+def kept_from(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written and read again; the tables that were written to make it go."""
+    path = new_folder(spark, name)
+    with freed():
+        df = make()
+        df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
