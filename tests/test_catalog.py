@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from variorum import catalog
+from variorum import catalog, catalog_more  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
-#: Of the queries over whole comparisons, doc_stats and section_alignment are enough here.
-SLOW = {"detail_rows", "section_counts"}
+#: Of the queries over whole comparisons, doc_stats, section_alignment, report_rows and status_lists are enough here.
+SLOW = {"detail_rows", "section_counts", "preview_rows", "summary_cards"}
 TABLES = "customer supplier part orders lineitem documents pages benchmark conversations".split()
 
 
