@@ -36,14 +36,19 @@ EDITS = 1
 SEGMENT = 64
 #: Variants that a task emits.
 VARIANTS = 2_000_000
-#: Keys and lines up to this number (24 bytes each) are broadcast, else joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Bits of a sieve, 8 MB: before few of many rows are joined by shuffle, most others are held back by the bits of their keys.
+SIEVE = 1 << 26
 _BLANK = " \t\r\f"
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sieved(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose keys hash to the bit of some row of wanted: all that match one, and few others."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
+    byte = F.expr("cast(conv(hex(substring(_map, cast(bitmap_bit_position(_bit) div 8 + 1 as int), 1)), 16, 10) as int)")
+    # At most SIEVE bits in all, whatever wanted holds.
+    hit = df.withColumn("_bit", bit).join(F.broadcast(maps), F.bitmap_bucket_number("_bit") == F.col("_bucket")).withColumn("_byte", byte)
+    return hit.where("(shiftright(_byte, cast(bitmap_bit_position(_bit) % 8 as int)) & 1) = 1").select(df.columns)
 
 
 def _hashes(line: Column) -> dict[str, Column]:
@@ -105,17 +110,17 @@ def dedup(docs: DataFrame, near_from: int = NEAR_FROM, edits: int = EDITS) -> Da
     # 2. Lines that share a half with another line.
     keys = distinct.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
     shared = storage.kept(keys.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"), "line-halves")
-    possible = storage.kept(keys.join(_near(shared), "half", "left_semi").select("h1", "h2").distinct(), "line-possible")
+    possible = storage.kept(_sieved(keys, shared, ["half"]).join(shared, "half", "left_semi").select("h1", "h2").distinct(), "line-possible")
 
     # 3. Their texts, then their variants.
-    first = distinct.join(_near(possible), ["h1", "h2"], "left_semi").select("h1", "h2", "at")
-    first = first.select("h1", "h2", "at.doc_id", "at.text_hash", "at.line_no").select("h1", "h2", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "line_no")))
+    order = ["doc_id", "text_hash", "line_no"]
+    first = _sieved(distinct, possible, ["h1", "h2"]).join(possible, ["h1", "h2"], "left_semi").select("h1", "h2", "at.*")
     first = storage.kept(first, "line-first")
+    placed = first.select("h1", "h2", *(F.col(c).alias(f"_{c}") for c in order))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
-    texts = lines.join(_near(first), same).select("h1", "h2", *(F.col(f"_{c}").alias(c) for c in ("doc_id", "text_hash", "line_no")), "line").dropDuplicates(["h1", "h2"])
+    texts = _sieved(lines, first, order).join(placed, same).select("h1", "h2", *(F.col(f"_{c}").alias(c) for c in order), "line").dropDuplicates(["h1", "h2"])
     # Numbers in the order of first positions stand for lines from here on.
-    order = ["doc_id", "text_hash", "line_no"]
-    texts = storage.kept(texts.repartitionByRange(*order).sortWithinPartitions(*order).select("h1", "h2", "line", F.monotonically_increasing_id().alias("id")), "line-texts")
+    texts = storage.kept(texts.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "line", F.monotonically_increasing_id().alias("id")), "line-texts")
     # A line becomes as many rows as it has characters: tasks are dealt by characters, not by lines.
     size = texts.agg(F.sum(F.length("line"))).head()[0] or 0
     spread = texts.repartition(1 + size // VARIANTS, "id")
@@ -131,11 +136,12 @@ def dedup(docs: DataFrame, near_from: int = NEAR_FROM, edits: int = EDITS) -> Da
     pairs = linked.select("p.early", "p.late").distinct()
 
     # 4. Verification, and the lines that stay.
-    late = texts.select(F.col("id").alias("late"), F.col("line").alias("a"), "h1", "h2")
+    late = texts.select(F.col("id").alias("late"), F.col("line").alias("a"), *order)
     checked = pairs.join(late, "late").join(texts.select(F.col("id").alias("early"), F.col("line").alias("b")), "early")
-    gone = storage.kept(checked.where(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2").distinct(), "line-gone")
-    marked = distinct.join(_near(gone.withColumn("near", F.lit(True))), ["h1", "h2"], "left")
-    stay = marked.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("at.line_no"))).alias("_stay"), F.count("near").alias("n_near"))
+    gone = checked.where(F.levenshtein("a", "b", 1) >= 0).select(*order).distinct()
+    both = distinct.select("at.*", F.lit(False).alias("near")).unionByName(gone.withColumn("near", F.lit(True)))
+    numbers = lambda near: F.collect_list(F.when(F.col("near") == near, F.col("line_no")))
+    stay = both.groupBy("doc_id", "text_hash").agg(F.array_except(numbers(False), numbers(True)).alias("_stay"), F.count_if("near").alias("n_near"))
     stay = stay.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_stay", "n_near")
 
     joined = base.withColumn("_text_hash_own", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash_own") == F.col("_text_hash")), "left")
