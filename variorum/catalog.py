@@ -131,7 +131,7 @@ def _doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT doc_id AS pair_id, count(*) AS paragraphs, CAST(sum(len({_SENTENCES.format('u.line')})) AS BIGINT) AS sentences FROM ({_LINES}) WHERE {_NORMAL.format('u.line')} <> '' GROUP BY doc_id")
 def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs and sentences of every document, its lines being blocks."""
-    return H.paragraphs(_doc_blocks(spark, sf_dir)).groupBy("pair_id").agg(F.count("*").alias("paragraphs"), F.sum(F.size("sentences")).cast("long").alias("sentences"))
+    return H.counts(H.paragraphs(_doc_blocks(spark, sf_dir)))
 
 
 @_query(rf"""

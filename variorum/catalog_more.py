@@ -9,7 +9,7 @@ from variorum import catalog as K
 from variorum import oracles as O
 from variorum import packages
 from variorum import pairs as P
-from variorum.catalog import _CHANGES, _LINES, _ORDERS, _query, _sql_matches, _sql_minus, _with  # noqa: F401
+from variorum.catalog import _ORDERS, _query, _sql_matches, _sql_minus, _with
 from variorum.functions import special, worddiff
 from variorum.functions import text as T
 from variorum.operators import align as A
@@ -112,6 +112,51 @@ def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.word_paragraphs(pdf.outside_boxes(words.drop("l_orderkey"), boxes)).select("page", "para_no", "text")
 
 
+# Rulings: two lines along every third order, one beside each of its items and one at its end; lone lines under the others.
+_RULED = f"""w AS ({_WORDS_SQL}), o AS (SELECT page, l_orderkey, min(x0) - 2 AS a, max(x1) + 2 AS b, min(top) - 1 AS t, max(bottom) + 1 AS u FROM w GROUP BY page, l_orderkey),
+rulings AS (
+  SELECT page, a AS x0, b AS x1, t AS top, t AS bottom FROM o WHERE l_orderkey % 3 = 0 UNION SELECT page, a, b, u, u FROM o
+  UNION SELECT page, b, b, t, u FROM o WHERE l_orderkey % 3 = 0 UNION SELECT w.page, x0 - 2, x0 - 2, t, u FROM w JOIN o USING (l_orderkey) WHERE l_orderkey % 3 = 0
+), n AS MATERIALIZED (SELECT *, row_number() OVER () AS id, bottom - top <= 2 AS flat FROM rulings WHERE (bottom - top <= 2) <> (x1 - x0 <= 2)),
+e AS MATERIALIZED (SELECT h.id AS a, v.id AS b FROM n h JOIN n v ON h.page = v.page AND h.flat AND NOT v.flat AND h.x0 - 1.5 <= v.x1 AND v.x0 - 1.5 <= h.x1 AND h.top - 1.5 <= v.bottom AND v.top - 1.5 <= h.bottom),
+ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM ways UNION SELECT r.id, ways.b FROM reach r JOIN ways ON ways.a = r.other),
+boxes AS MATERIALIZED (SELECT page, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM n JOIN (SELECT id, min(other) AS label FROM reach GROUP BY id) USING (id) GROUP BY page, label HAVING count(*) FILTER (flat) >= 2 AND count(*) FILTER (NOT flat) >= 2)"""
+
+
+def _rulings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words of pages, and rulings around some of them."""
+    li = P.table(spark, sf_dir, "lineitem")
+    place = F.col("l_orderkey") % 40
+    top = (place * 12 + F.floor(place / 9) * 10).cast("double")
+    words = li.select(F.lit(1).alias("doc_id"), F.floor(F.col("l_orderkey") / 40).alias("page"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), (F.col("l_linenumber") * 40).cast("double").alias("x0"), (F.col("l_linenumber") * 40 + 30).cast("double").alias("x1"), top.alias("top"), (top + 9).alias("bottom"), "l_orderkey")
+    spans = words.groupBy("doc_id", "page", "l_orderkey").agg((F.min("x0") - 2).alias("a"), (F.max("x1") + 2).alias("b"), (F.min("top") - 1).alias("t"), (F.max("bottom") + 1).alias("u"))
+    line = lambda df, *ends: df.select("doc_id", "page", *(F.col(c).alias(n) for c, n in zip(ends, ("x0", "x1", "top", "bottom"), strict=True)))
+    tables = spans.where("l_orderkey % 3 = 0")
+    beside = words.join(tables.select("l_orderkey", "t", "u"), "l_orderkey").withColumn("a", F.col("x0") - 2).select("doc_id", "page", "a", "t", "u")
+    return words.drop("l_orderkey"), line(tables, "a", "b", "t", "t").unionByName(line(spans, "a", "b", "u", "u")).unionByName(line(tables, "b", "b", "t", "u")).unionByName(line(beside, "a", "a", "t", "u"))
+
+
+@_query(f"WITH RECURSIVE {_RULED} SELECT * FROM boxes")
+def table_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the tables that rulings of pages enclose."""
+    return pdf.table_boxes(_rulings(spark, sf_dir)[1]).select("page", "x0", "x1", "top", "bottom")
+
+
+@_query(f"""
+WITH RECURSIVE {_RULED}, f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = w.page AND w.x0 >= b.x0 - 1 AND w.x1 <= b.x1 + 1 AND w.top >= b.top - 1 AND w.bottom <= b.bottom + 1)),
+l AS (SELECT page, CAST(round_even(top, 0) AS BIGINT) AS line_top, string_agg(text, ' ' ORDER BY x0, text) AS text, min(top) AS top, max(bottom) AS bottom FROM f GROUP BY ALL),
+k AS (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY page ORDER BY line_top) > 8 THEN 1 ELSE 0 END AS new FROM l),
+p AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY line_top) AS para_no FROM k)
+SELECT page, CAST(para_no AS BIGINT) AS para_no, string_agg(text, ' ' ORDER BY line_top) AS text FROM p GROUP BY page, para_no
+""")
+def words_beside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the words that stand outside of the tables that rulings enclose."""
+    words, rulings = _rulings(spark, sf_dir)
+    boxes = kept(pdf.table_boxes(rulings), "table-boxes")
+    return pdf.word_paragraphs(pdf.outside_boxes(words, boxes)).select("page", "para_no", "text")
+
+
 _MARKED = "array_to_string(list_filter(string_split(html, ' '), lambda x: NOT starts_with(x, '<{0}>')), ' ')"
 
 

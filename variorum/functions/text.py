@@ -74,7 +74,8 @@ def normalize(c: Column, opts: NormalizeOptions = NormalizeOptions()) -> Column:
 def split_sentences(c: Column) -> Column:
     """Cut after . ! ? before a capital, digit, quote or bracket, and at line feeds; the trimmed text where nothing is left."""
     parts = F.filter(F.transform(F.split(c, rf"""(?<=[.!?]){WS}+(?=[A-Z0-9"“'(])|\n+"""), js_trim), lambda s: s != "")
-    return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(js_trim(c))).otherwise(parts)
+    some = once(parts, lambda p: F.when(F.size(p) == 0, F.array(js_trim(c))).otherwise(p))
+    return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(some)
 
 
 def tokens(c: Column) -> Column:

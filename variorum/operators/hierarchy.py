@@ -47,6 +47,12 @@ def paragraphs(blocks: DataFrame, opts: NormalizeOptions = NormalizeOptions()) -
     )
 
 
+def counts(paras: DataFrame) -> DataFrame:
+    """Paragraphs and sentences of each pair. Sentences are cut but not normalised, as only their number is asked for."""
+    number = F.when(F.col("type") == TABLE_ROW, 1).otherwise(F.size(T.split_sentences(F.col("original_text"))))
+    return paras.groupBy("pair_id").agg(F.count("*").alias("paragraphs"), F.sum(number).cast("long").alias("sentences"))
+
+
 def sentences(paras: DataFrame) -> DataFrame:
     """A row per sentence."""
     return paras.select("pair_id", "side", "sec_idx", "para_pos", F.posexplode("sentences").alias("_i", "s")).select(

@@ -1,4 +1,4 @@
-"""Positioned text items of pages (page, str, x, y, width) to lines, table rows and paragraphs. Windows only."""
+"""Positioned text items of pages (page, str, x, y, width) to lines, table rows and paragraphs; rulings to tables' boxes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
+from variorum.storage import kept
 
 # Gaps that make a space, a cell and a paragraph; lines of a table id; items and gaps of a table line.
 SPACE_GAP, CELL_GAP, PARAGRAPH_GAP, ID_LINES, TABLE_ITEMS, TABLE_GAPS = 1.0, 18.0, 22.0, 4, 3, 2
@@ -73,3 +74,40 @@ def word_paragraphs(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")
     new = F.when(gap.isNull(), 0).when((gap > LINE_GAP) | F.col("text").rlike(WORD_BULLET), 1).otherwise(0)
     numbered = grouped.withColumn("_new", new).withColumn("para_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "para_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_top", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+# How near two rulings come to count as touching, what a ruling may have of thickness, and the side of a grid's square.
+TOUCH, THICKNESS, GRID = 1.5, 2.0, 64.0
+
+
+def table_boxes(rulings: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """keys and x0, x1, top, bottom of every table: what touching rulings (x0, x1, top, bottom) enclose, where two at least run each way.
+
+    A horizontal and a vertical ruling meet by an equi-join on the squares of a grid that both of them cross. Tables are the
+    components of what meets, by least numbers that spread until none changes: few rounds, as all lines of a grid meet.
+    """
+    keys = list(keys)
+    flat = F.col("bottom") - F.col("top") <= THICKNESS
+    upright = F.col("x1") - F.col("x0") <= THICKNESS
+    lines = rulings.where((flat | upright) & ~(flat & upright)).select(*keys, "x0", "x1", "top", "bottom").distinct().withColumn("flat", flat)
+    lines = kept(lines.withColumn("id", F.monotonically_increasing_id()), "rulings")
+    squares = lambda low, high: F.sequence(F.floor((F.col(low) - TOUCH) / GRID), F.floor((F.col(high) + TOUCH) / GRID))
+
+    def on_grid(df: DataFrame, name: str) -> DataFrame:
+        crossed = df.withColumn("gx", F.explode(squares("x0", "x1"))).withColumn("gy", F.explode(squares("top", "bottom")))
+        return crossed.select(*keys, "gx", "gy", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "x0", "x1", "top", "bottom")))
+
+    near = lambda low, high: (F.col(f"h_{low}") - TOUCH <= F.col(f"v_{high}")) & (F.col(f"v_{low}") - TOUCH <= F.col(f"h_{high}"))
+    meeting = on_grid(lines.where("flat"), "h").join(on_grid(lines.where("not flat"), "v"), [*keys, "gx", "gy"]).where(near("x0", "x1") & near("top", "bottom"))
+    edges = meeting.select(F.col("h_id").alias("a"), F.col("v_id").alias("b")).distinct()
+    edges = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ruling-edges")
+    labels = kept(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "ruling-labels")
+    while True:
+        spread = edges.join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        new = labels.join(spread.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("fell"))
+        new = kept(new, "ruling-labels")
+        labels = new.drop("fell")
+        if new.where("fell").isEmpty():
+            break
+    tables = lines.join(labels, "id").groupBy(*keys, "label").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count_if("flat").alias("_flat"), F.count_if(~F.col("flat")).alias("_upright"))
+    return tables.where("_flat >= 2 and _upright >= 2").select(*keys, "x0", "x1", "top", "bottom")
