@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum import catalog as K
 from variorum import oracles as O
-from variorum import packages
+from variorum import packages, sql
 from variorum import pairs as P
 from variorum.catalog import _ORDERS, _query, _sql_matches, _sql_minus, _with
 from variorum.functions import special, worddiff
@@ -272,3 +272,14 @@ def align_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = kept(items(customers, F.col("c_name")), "ceiling-src")
     out = kept(items(customers.where("c_custkey % 9 <> 0"), F.concat("c_mktsegment", F.col("c_custkey").cast("string"))), "ceiling-out")
     return A.candidates(src, out, ["pair_id"]).select("src_idx", "out_idx")
+
+
+_COUNT = "CAST(len(list_filter(string_split(html, ' '), lambda x: {0})) AS BIGINT)"
+
+
+@_query(_with([_ORDERS.strip(), "p AS MATERIALIZED (SELECT o_orderkey AS id, src AS a, out AS b FROM s)", *O.redline("r", "p")], "SELECT id AS o_orderkey, " + ", ".join(f"{_COUNT.format(c)} AS {n}" for n, c in (("removed", "starts_with(x, '<del>')"), ("added", "starts_with(x, '<ins>')"), ("equal_words", "NOT starts_with(x, '<del>') AND NOT starts_with(x, '<ins>')"))) + " FROM r"))
+def redline_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are removed, added and equal between both sentences of every order, by the table function."""
+    sql.register(spark)
+    rows = P.order_sentences(spark, sf_dir).selectExpr("o_orderkey", "src AS source_text", "out AS output_text")
+    return spark.sql("SELECT o_orderkey, count_if(token_type = 'removed') AS removed, count_if(token_type = 'added') AS added, count_if(token_type = 'equal') AS equal_words FROM redline(TABLE({rows})) GROUP BY o_orderkey", rows=rows)
