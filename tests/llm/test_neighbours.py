@@ -65,3 +65,20 @@ def test_ids_with_several_vectors(spark):
     got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, 20).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
     assert abs(got[0].score - float(np.float32(0.9))) < 1e-9
+
+
+def test_doubles_stay_doubles(spark):
+    """Vectors that are one in floats: their order and scores are those of their doubles."""
+    rng = np.random.default_rng(8)
+    x = 1.0 + rng.standard_normal((400, 6)) * 1e-9
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1e300] + [0.0] * 5), (1001, [float("inf")] * 6)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 40 == 0, 5).collect()
+    assert {r.query_id for r in got} == set(range(0, 400, 40)) and all(r.vec_id < 400 for r in got)
+    hits = 0
+    for q in range(0, 400, 40):
+        scores = (x * x[q]).sum(axis=1)
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert all(abs(r.score - scores[r.vec_id]) < 1e-14 for r in mine)
+        others = [i for i in sorted(range(400), key=lambda i: (-scores[i], i)) if i != q]
+        hits += len({r.vec_id for r in mine} & set(others[:5]))
+    assert hits >= 0.9 * 50

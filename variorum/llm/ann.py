@@ -20,7 +20,9 @@ nearest of anything. Equal queries are searched once. Vectors that are null, zer
 hold null or non-finite components take no part, neither as queries nor as candidates; equal (id, vector) rows count
 once, and rows with a null id don't count. An id that comes with several vectors is one query and one candidate, by the best
 of its vectors, and never its own neighbour (with many such ids, fewer than k may be found). Columns but the two named take
-no part, whatever their names, unless is_query reads them. An empty table gives an empty result.
+no part, whatever their names, unless is_query reads them. An empty table gives an empty result. Floats are held as floats,
+wider numbers as doubles; doubles over `LARGEST` in size, whose squares have no sum, count as non-finite. Unlike points that
+are projected to one place stay in one cell, which is searched in parts.
 """
 
 from __future__ import annotations
@@ -174,20 +176,20 @@ def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.n
     out: list[np.ndarray] = []
     take = wanted + SPARE
     for at in range(0, len(queries), 256):
-        q, pq = queries[at : at + 256].astype(np.float32), projected_queries[at : at + 256]
+        q, pq = queries[at : at + 256].astype(vectors.dtype), projected_queries[at : at + 256]
         norms = (queries[at : at + 256].astype(np.float64) ** 2).sum(axis=1)
         limit = bounds[at : at + 256].copy()
         gap = np.maximum(low[None] - pq[:, None], 0) + np.maximum(pq[:, None] - high[None], 0)
         near = (gap * gap).sum(axis=2)
         order = np.argsort(near, axis=1, kind="stable")
-        best = np.full((len(q), take), -np.inf, np.float32)
+        best = np.full((len(q), take), -np.inf, vectors.dtype)
         who = np.full((len(q), take), -1, np.int64)
         done, step = 0, 1
         active = np.arange(len(q))
         while done < len(leaves) and len(active):
             active = active[near[active, order[active, done]] <= limit[active] * quantile]
             block = order[active, done : done + step]
-            scores = np.full((len(active), block.shape[1] * LEAF), -np.inf, np.float32)
+            scores = np.full((len(active), block.shape[1] * LEAF), -np.inf, vectors.dtype)
             rows = np.full(scores.shape, -1, np.int64)
             for leaf in np.unique(block):
                 which, slot = np.nonzero(block == leaf)
@@ -212,8 +214,12 @@ def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.n
     return out
 
 
+#: Components up to here have squares that can be added up.
+LARGEST = 1e150
+
+
 def _usable(embedding: Column, dim: int) -> Column:
-    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
     return embedding.isNotNull() & (F.size(embedding) == dim) & whole & F.exists(embedding, lambda x: x != 0)
 
 
@@ -271,7 +277,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     """query_id, rank, vec_id and score of the k nearest rows of every query (a row for which is_query holds)."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    # Floats stay floats; anything wider is held as doubles.
+    kind = "float" if vectors.select(embedding).schema[0].dataType.elementType.simpleString() in ("float", "tinyint", "smallint") else "double"
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     usual = rows.where("embedding is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").head()
     if usual is None:
         return spark.createDataFrame([], schema)
@@ -297,7 +305,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
         return B.task(run)
 
-    placed = storage.kept(points.mapInArrow(project(False), "embedding array<float>, ids array<long>, projected array<double>"), "ann-projected")
+    placed = storage.kept(points.mapInArrow(project(False), f"embedding array<{kind}>, ids array<long>, projected array<double>"), "ann-projected")
     tree = grown(placed, sizes["n"], cell, sample)
     index = storage.kept(_located(placed, tree), "ann-index")
     shipped = spark.sparkContext.broadcast(tree)
@@ -305,7 +313,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     # Queries: distinct vectors, numbered as they are written.
     asked = rows.where("is_query").select("vec_id", "embedding")
     distinct = storage.kept(asked.select("embedding").distinct().withColumn("asker", F.monotonically_increasing_id()), "ann-askers")
-    queries = storage.kept(distinct.mapInArrow(project(True), "embedding array<float>, asker long, projected array<double>"), "ann-queries")
+    queries = storage.kept(distinct.mapInArrow(project(True), f"embedding array<{kind}>, asker long, projected array<double>"), "ann-queries")
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries that visit a cell; right: its points."""
@@ -350,7 +358,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
         return B.task(run)
 
-    columns = "asker long, embedding array<float>, projected array<double>, bound double, cell int"
+    columns = f"asker long, embedding array<{kind}>, projected array<double>, bound double, cell int"
     lists, bounded, done, step = None, queries.withColumn("bound", F.lit(float("inf"))), 0, 1
     while done < tree.cells:
         visits = storage.kept(bounded.select("asker", "embedding", "projected", "bound").mapInArrow(due(done, step), columns), "ann-visits")
