@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
 return the columns of documents. Texts are whole throughout; a document without an id, with a null text
 or with an empty text passes the filters (nothing speaks against it), unless line dedup has emptied it.
+
+Cases. A stage reads the columns of documents and no others, whatever their names. Rows that repeat a doc_id count as one
+document where documents are chosen: all stay or all go (toxicity and line dedup judge each row). Repeated rows stay
+repeated. Tables without rows give tables without rows; without labels nothing is toxic, without benchmark nothing leaks.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence-level model does not predict to be toxic."""
     storage.modest_batches(spark)
+    docs = docs.select(COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).where("predicted = 0").select(COLUMNS)
@@ -30,7 +35,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals; n_chars follows the text."""
-    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return linededup.dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def _unemptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def _unemptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates, the document with the smallest id; of emptied copies, none."""
     storage.modest_batches(spark)
-    docs = storage.kept(_unemptied(spark, docs, sf_dir), "unemptied")
+    docs = storage.kept(_unemptied(spark, docs.select(COLUMNS), sf_dir), "unemptied")
     copies = neardup.classes(docs).where("class_id <> doc_id")
     return _without(docs, copies)
 
@@ -54,13 +59,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents in which no benchmark passage was found."""
     storage.modest_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.leaks(docs, benchmark))
+    return _without(docs, decontam.leaks(docs.select(COLUMNS), benchmark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     storage.modest_batches(spark)
-    return bpe.digests(docs)
+    return bpe.digests(docs.select(COLUMNS))
 
 
 STAGES = [
