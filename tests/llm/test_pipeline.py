@@ -44,3 +44,23 @@ def test_stages(spark, tmp_path):
     assert ids["decontamination"] == ids["near_dedup"] - {301} and ids["bpe"] == ids["decontamination"]
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == ids["bpe"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows and ids, columns besides those of documents."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("odd", [(1, "Some words that stand here.", "en", "s", 27), (1, "Some words that stand here.", "en", "s", 27), (1, "Quite another text of the same id.", None, None, None), (None, "No id at all here.", "en", "s", 18), (2, None, None, None, None)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS predicted", "'x' AS class_id", "7 AS n_lines")
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, now, folder)
+            if stage == "bpe":
+                assert out.count() == len(rows)
+                break
+            assert out.columns == corpus_pipeline.COLUMNS
+            out.write.parquet(f"{folder}/{stage}")
+            now = spark.read.parquet(f"{folder}/{stage}").selectExpr("*", "1 AS predicted", "'x' AS class_id", "7 AS n_lines")
+            assert now.count() == len(rows), stage
