@@ -459,7 +459,23 @@ def trim_around_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("item_id", "c.source", "c.output", "c.trimmed")
 
 
-@_query()
+# Blocks of pages by marks: each starts a block of its kind (P, H, L), or ends one (N). It knows the elements that the pages have, not all of HTML.
+_PAGE_BLOCKS = r"""
+WITH bare AS (
+  SELECT page_id AS pair_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '<(script|style|title)\b[^>]*>.*?(</(script|style|title)\s*>|$)', '', 'gis'), '<br\b[^>]*>', ' ', 'gi') AS html FROM pages),
+marked AS (
+  SELECT pair_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</(p|h1|li|ul)\s*>|<ul\b[^>]*>', chr(1) || 'N', 'gi'), '<p\b[^>]*>', chr(1) || 'P', 'gi'), '<h1\b[^>]*>', chr(1) || 'H', 'gi'), '<li\b[^>]*>', chr(1) || 'L', 'gi'), '</?[a-zA-Z][^>]*(>|$)', '', 'g') AS html FROM bare),
+pieces AS (
+  SELECT pair_id, unnest(list_transform(range(len(ps)), lambda i: {'i': i, 'p': ps[i + 1]})) AS u FROM (SELECT pair_id, string_split('N' || html, chr(1)) AS ps FROM marked)),
+texts AS (
+  SELECT pair_id, u.i AS i, u.p[1] AS kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u.p[2:], '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pieces),
+opened AS (
+  SELECT *, sum((kind = 'H')::INTEGER) OVER (PARTITION BY pair_id ORDER BY i) AS heading FROM texts WHERE text <> '')
+SELECT pair_id, CAST(dense_rank() OVER (PARTITION BY pair_id ORDER BY heading) - 1 AS INTEGER) AS sec_idx, CASE WHEN heading = 0 THEN 'Document' ELSE first_value(text) OVER (PARTITION BY pair_id, heading ORDER BY i) END AS title, CAST(row_number() OVER (PARTITION BY pair_id, heading ORDER BY i) - 1 AS INTEGER) AS block_idx, CASE kind WHEN 'H' THEN 'heading' WHEN 'L' THEN 'list' ELSE 'paragraph' END AS type, text FROM opened
+"""
+
+
+@_query(_PAGE_BLOCKS)
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page."""
     pages = P.table(spark, sf_dir, "pages").select(F.col("page_id").alias("pair_id"), F.lit("src").alias("side"), "html")
