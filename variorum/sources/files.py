@@ -36,6 +36,21 @@ def text_sections(data: bytes) -> list[dict]:
 
 
 PARSERS = {"html": _html, "htm": _html, "docx": ooxml.docx, "pptx": ooxml.pptx}
+
+
+def parsed(name: str, data: bytes | None) -> tuple[list[dict], str | None]:
+    """Sections of one file, or what is wrong with it, outside of Spark's expressions."""
+    kind = name.rpartition(".")[2].lower() if "." in name else ""
+    if not data:
+        return [], EMPTY
+    if kind != "txt" and kind not in PARSERS:
+        return [], f"{UNSUPPORTED}: .{kind}"
+    try:
+        return (text_sections if kind == "txt" else PARSERS[kind])(bytes(data)), None
+    except Exception as e:  # noqa: BLE001  whatever a broken file provokes is its result
+        return [], f"{UNREADABLE} {name}: {type(e).__name__}: {e}"
+
+
 _COLUMNS = ["pair_id", "side", "doc_type", "file_name", "sections", "parse_error"]
 
 
@@ -73,7 +88,7 @@ def read_pairs(spark: SparkSession, source: str, output: str) -> DataFrame:
     """Documents of two folders and all below them; files of one relative path (without extension) are a pair.
 
     Where a folder has more than one file of a path, as with different extensions, none of them is read: each has an error
-    that says so.
+    that says so. Spark's reader passes over files of no bytes; datasource.DocumentBlocks tells of them.
     """
 
     def side(path: str, name: str) -> DataFrame:

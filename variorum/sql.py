@@ -43,15 +43,10 @@ class ParseBlocks:
         return _passed(files, ("content",), _BLOCK)
 
     def eval(self, files: Row) -> Iterator[tuple]:
-        from variorum.sources.files import EMPTY, PARSERS, UNREADABLE, UNSUPPORTED, text_sections
-
-        rest, name, data = _rest(files, ("content",)), files["file_name"] or "", files["content"]
-        kind = name.rpartition(".")[2].lower() if "." in name else ""
-        try:
-            error = EMPTY if not data else None if kind == "txt" or kind in PARSERS else f"{UNSUPPORTED}: .{kind}"
-            sections = [] if error else text_sections(bytes(data)) if kind == "txt" else PARSERS[kind](bytes(data))
-        except Exception as e:  # noqa: BLE001  whatever a broken file provokes is its result
-            error, sections = f"{UNREADABLE} {name}: {type(e).__name__}: {e}", []
+        from variorum.sources.files import parsed
+
+        rest = _rest(files, ("content",))
+        sections, error = parsed(files["file_name"] or "", files["content"])
         if error:
             yield (*rest, *[None] * 10, error)
         for i, s in enumerate(sections):
