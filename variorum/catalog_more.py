@@ -16,9 +16,9 @@ from variorum.operators import align as A
 from variorum.operators import hierarchy as H
 from variorum.plans import compare as C
 from variorum.plans import report as R
-from variorum.sources import files, pdf
+from variorum.sources import datasource, files, pdf
 from variorum.sources import text as X
-from variorum.storage import kept
+from variorum.storage import kept, new_folder
 
 # The lines of a turn as a package holds them: white space collapsed.
 _TURN_LINES = r"SELECT conv_id, turn, role, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS ls FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL"
@@ -283,3 +283,14 @@ def redline_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
     rows = P.order_sentences(spark, sf_dir).selectExpr("o_orderkey", "src AS source_text", "out AS output_text")
     return spark.sql("SELECT o_orderkey, count_if(token_type = 'removed') AS removed, count_if(token_type = 'added') AS added, count_if(token_type = 'equal') AS equal_words FROM redline(TABLE({rows})) GROUP BY o_orderkey", rows=rows)
+
+
+@_query(f"SELECT text, count(*) AS blocks FROM ({K.ORACLES['parse_txt_blocks']}) GROUP BY text")
+def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each block stands in text files that hold all documents, read by the data source, of its columns one."""
+    folder = new_folder(spark, "texts")
+    texts = P.table(spark, sf_dir, "documents").where("text is not null").select(F.concat("text", F.lit("\n")).alias("value"))
+    texts.write.option("maxRecordsPerFile", 500).text(folder)
+    spark.dataSource.register(datasource.DocumentBlocks)
+    blocks = spark.read.format("document_blocks").schema("text string").option("source", folder).load()
+    return blocks.groupBy("text").agg(F.count("*").alias("blocks"))
