@@ -82,3 +82,26 @@ def test_doubles_stay_doubles(spark):
         others = [i for i in sorted(range(400), key=lambda i: (-scores[i], i)) if i != q]
         hits += len({r.vec_id for r in mine} & set(others[:5]))
     assert hits >= 0.9 * 50
+
+
+def _verified(x, k=20):
+    """Share of all points that are verified, and recall, where every 20th vector is a query of one cell of all others."""
+    dim, n = x.shape[1], len(x)
+    largest = float((x * x).sum(axis=1).max())
+    matrix = ann._projection(dim)
+    lift = np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))
+    asked = np.arange(0, n, 20)
+    got, verified = ann.search_cell(x[asked], x[asked] @ matrix[:-1], np.full(len(asked), np.inf), x, x @ matrix[:-1] + lift[:, None] * matrix[-1], np.arange(n), k + 1, largest)
+    hits = sum(len(set(g.tolist()) & set(np.lexsort((np.arange(n), -(x @ x[i])))[: k + 1].tolist())) for i, g in zip(asked, got, strict=True))
+    return verified / (len(asked) * n), hits / (len(asked) * (k + 1))
+
+
+def test_points_beyond_the_test_are_not_verified():
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    clustered = unit(rng.standard_normal((200, 64))[rng.integers(0, 200, 12_000)] + 0.5 * rng.standard_normal((12_000, 64)))
+    share, recall = _verified(clustered)
+    assert share < 0.3 and recall >= 0.9
+    share, recall = _verified(unit(rng.standard_normal((6000, 64))))
+    # Vectors without structure: what the test can spare is little.
+    assert share < 0.95 and recall >= 0.9

@@ -5,7 +5,8 @@ Inner products become distances by one more coordinate: x gets sqrt(M^2 - |x|^2)
 dimensions by a Gaussian matrix (2-stable: a squared projected distance over the squared distance is chi-square
 distributed). A query takes candidates by increasing projected distance from kd-trees and verifies them on the original
 vectors; it stops when the next projected distance is so large that, with probability `CERTAINTY`, nothing nearer than
-its present k-th neighbour lies beyond: delta^2 > d_k^2 * chi2^-1(CERTAINTY; DIMS).
+its present k-th neighbour lies beyond: delta^2 > d_k^2 * chi2^-1(CERTAINTY; DIMS). The test holds for cells, for the leaves
+of a cell's tree, and for each point of a leaf: of one beyond it, no exact product is taken.
 
 Distribution: a kd-tree cuts space into cells. It grows from one cell: a cell of more than twice `CELL` vectors is split by
 medians of a bounded sample of its projections (`SAMPLE` rows), until none is left, so cells stay small however large the
@@ -168,9 +169,12 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, projected: np.ndarray, first_ids: np.ndarray, wanted: int, largest: float) -> list[np.ndarray]:
-    """For each query, the rows of its `wanted` best vectors here that beat its bound (a squared distance), best first."""
+def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, projected: np.ndarray, first_ids: np.ndarray, wanted: int, largest: float) -> tuple[list[np.ndarray], int]:
+    """For each query, the rows of its `wanted` best vectors here that beat its bound (a squared distance), best first; and
+    how many pairs of a query and a vector were verified for it.
+    """
     leaves = _leaves(projected)
+    own2, verified = (projected * projected).sum(axis=1), 0
     low, high = (np.stack([f(projected[rows], axis=0) for rows in leaves]) for f in (np.min, np.max))
     quantile = chi2_quantile(CERTAINTY, DIMS)
     out: list[np.ndarray] = []
@@ -191,13 +195,24 @@ def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.n
             block = order[active, done : done + step]
             scores = np.full((len(active), block.shape[1] * LEAF), -np.inf, vectors.dtype)
             rows = np.full(scores.shape, -1, np.int64)
+            radius2 = limit[active] * quantile
             for leaf in np.unique(block):
                 which, slot = np.nonzero(block == leaf)
                 members = leaves[leaf]
-                got = q[active[which]] @ vectors[members].T
-                columns = slot[:, None] * LEAF + np.arange(len(members))
-                scores[which[:, None], columns] = got
-                rows[which[:, None], columns] = members
+                # Points of the leaf that the test lets through, each by its own projected distance.
+                p = pq[active[which]]
+                apart = (p * p).sum(axis=1)[:, None] + own2[members] - 2 * (p @ projected[members].T)
+                due = apart <= radius2[which][:, None] * (1 + 1e-9)
+                by, at_member = np.nonzero(due)
+                if not len(by):
+                    continue
+                verified += len(by)
+                if 4 * len(by) > due.size:
+                    got = (q[active[which]] @ vectors[members].T)[by, at_member]
+                else:
+                    got = np.einsum("ij,ij->i", q[active[which[by]]], vectors[members[at_member]])
+                scores[which[by], slot[by] * LEAF + at_member] = got
+                rows[which[by], slot[by] * LEAF + at_member] = members[at_member]
             scores = np.concatenate([best[active], scores], axis=1)
             rows = np.concatenate([who[active], rows], axis=1)
             top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
@@ -211,7 +226,7 @@ def search_cell(queries: np.ndarray, projected_queries: np.ndarray, bounds: np.n
             exact = (vectors[rows_k].astype(np.float64) * queries[at + k].astype(np.float64)).sum(axis=1)
             keep = np.lexsort((first_ids[rows_k], -exact))[:wanted]
             out.append(rows_k[keep])
-    return out
+    return out, verified
 
 
 #: Components up to here have squares that can be added up.
@@ -322,7 +337,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         q, x = _matrix(left["embedding"], dim), _matrix(right["embedding"], dim)
         ids = right["ids"].combine_chunks()
         first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
-        got = search_cell(q, _matrix(left["projected"], DIMS), left["bound"].to_numpy(), x, _matrix(right["projected"], DIMS), first, k + 1, largest)
+        got, _ = search_cell(q, _matrix(left["projected"], DIMS), left["bound"].to_numpy(), x, _matrix(right["projected"], DIMS), first, k + 1, largest)
         picked = np.concatenate(got)
         of = np.repeat(np.arange(len(got)), [len(g) for g in got])
         score = (x[picked].astype(np.float64) * q[of].astype(np.float64)).sum(axis=1)
