@@ -32,7 +32,7 @@ def training_rows(rows: DataFrame, columns: list[str], most: int, most_bytes: in
     return keyed.join(F.broadcast(storage.kept(chosen, "training-ids")), ["doc_id", "_text", *own]).select("doc_id", "text", *columns)
 
 
-def _distinct(table: pa.Table) -> pa.Table:
+def distinct(table: pa.Table) -> pa.Table:
     """The table's distinct rows in the order of their values."""
     table = table.sort_by([(n, "ascending") for n in table.column_names])
     same = np.ones(max(table.num_rows - 1, 0), bool)
@@ -49,7 +49,7 @@ def in_one_task(rows: DataFrame, learn: Callable[[pa.Table], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.rename_columns(names) for b in batches if b.num_rows]
         table = pa.Table.from_batches(held) if held else kinds.empty_table()
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(learn(_distinct(table)))]})
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(learn(distinct(table)))]})
 
     found = rows.repartition(1).mapInArrow(B.task(run), "model binary").head()
     return pickle.loads(found["model"]) if found else learn(kinds.empty_table())
