@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from variorum.llm import toxicity
+from variorum.llm import decontam, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -49,3 +49,29 @@ def test_the_stage_of_toxicity_as_well(spark, late, tmp_path):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], f"{DOCS}, lang string, source string, n_chars long")
     left = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).collect()}
     assert len(left & unseen) <= 0.05 * len(unseen) and len(set(dict(rows)) - toxic - left) <= 2
+
+
+def test_the_latent_space_is_of_all_passages(spark, monkeypatch):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(900)]
+    items = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(8))) for i in range(5000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(300)], DOCS)
+    cut = decontam.passages(items).cache()
+    seen = []
+
+    def watched(rows, *a):
+        seen.extend([rows.toArrow(), fitted(rows, *a)])
+        return seen[1]
+
+    fitted = decontam.randomised_svd
+    monkeypatch.setattr(decontam, "randomised_svd", watched)
+    decontam.space(docs, cut)
+    cut.unpersist()
+    rows, basis = seen
+    assert rows.num_rows == 5000
+    dense = np.zeros((5000, len(basis)))
+    for k, (at, value) in enumerate(zip(rows["at"].to_pylist(), rows["value"].to_pylist(), strict=True)):
+        dense[k, at] = value
+    best = np.linalg.svd(dense, compute_uv=False)[: decontam.RANK]
+    # Nothing stands out among random words, so a few passes come near the best directions only.
+    assert np.linalg.norm(dense @ basis) ** 2 >= 0.9 * (best**2).sum()

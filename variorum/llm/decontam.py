@@ -3,11 +3,10 @@
 1. Benchmark items are cut into passages of at most `PASSAGE` words, which overlap by half. Their words, hashed to at most
    2^`BITS` columns, are the terms; document frequencies of all terms are counted over the whole corpus and give the TF-IDF
    weights. Function words weigh nothing.
-2. The latent space is the leading `RANK` right singular directions of the TF-IDF matrix of benchmark passages and about as
-   many corpus passages (about `FITTED` of each kind at most, by a hash), by a randomised SVD: a Gaussian sketch and subspace
-   iterations. With more of the corpus in it, the leading directions would be those of its common words, in which all
-   passages are alike. Passes over the matrix are distributed, and their shares are added and orthogonalised in one task; all have
-   columns times RANK numbers, however large benchmark and corpus are.
+2. The latent space is the leading `RANK` right singular directions of the TF-IDF matrix of all benchmark passages, which are
+   what is searched for, by a randomised SVD: a Gaussian sketch and subspace iterations. Windows of the corpus are folded in
+   (they have no terms besides the passages'). Passes over the matrix are distributed, and their shares are added and
+   orthogonalised in one task; all have columns times RANK numbers, however large benchmark and corpus are.
 3. Every document is cut into windows that begin at every `STRIDE` words; a window's latent vector is the sum of its
    words'. A passage is held against windows that are just long enough to contain it wherever it stands (`WINDOWS`), and
    whose surroundings have `RARE` of its rarest words: a leak has `PARAPHRASE` of a passage's words, so whichever others it
@@ -42,7 +41,6 @@ PASSAGE, SHORTEST = 96, 8
 STRIDE, WINDOWS = 8, (16, 24, 32, 48, 64, 112)
 BITS = 16
 RANK = 160
-FITTED = 4096
 GROUP = 8192
 COSINE = 0.4
 #: How many of a passage's rarest words have to stand around a window.
@@ -206,22 +204,11 @@ def space(docs: DataFrame, cut: DataFrame) -> Space | None:
     weight = np.where(stop, 0, np.append(np.log((n + 1) / (counts[held] + 1)) + 1, 0))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The passages' rows; of a text, the row of one passage in its middle."""
         for batch in batches:
-            if pa.types.is_list(batch.column(0).type):
-                own = _lists(batch.column(0))
-            else:
-                words, begins = _words(*B.column_bytes(batch.column(0)))
-                own = [words[max(a, (a + b - PASSAGE) // 2) : b][:PASSAGE] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-            done = [x for x in (_terms(w, column, weight) for w in own) if len(x[0])]
+            done = [x for x in (_terms(w, column, weight) for w in _lists(batch.column(0))) if len(x[0])]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.list_(pa.int32())), pa.array([v for _, v in done], pa.list_(pa.float64()))], names=["at", "value"])
 
-    kind = "at array<int>, value array<double>"
-    thin = lambda df, key, size, most: df.where(F.pmod(F.xxhash64(*key), F.lit(size // most + 1)) == 0)
-    n_own = long.count()
-    own = thin(long, ["item_id", "words"], n_own, FITTED).select("words").mapInArrow(B.task(rows_of), kind)
-    other = thin(docs.where("doc_id is not null"), ["doc_id"], n, min(n_own, FITTED)).select("text").mapInArrow(B.task(rows_of), kind).limit(2 * min(n_own, FITTED))
-    matrix = storage.kept(own.unionByName(other), "decontam-rows")
+    matrix = storage.kept(long.select("words").mapInArrow(B.task(rows_of), "at array<int>, value array<double>"), "decontam-rows")
     rank = min(RANK, len(held), max(matrix.count(), 1))
     basis = randomised_svd(matrix.repartition(8), len(held), rank)
     return Space(column, np.concatenate([weight[:-1, None] * basis, np.zeros((1, rank))]).astype(np.float32), stands[held])
